@@ -7,27 +7,68 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import packing, simhash_dedup
+from cellweave.llm import chat_format, labels, language_id, license_scan, packing, quality_rank, quality_rules, simhash_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), labels.crc_mod("doc_id", 5) == 0
+    rows = labels.sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out, most_rows=20_000)
+    return toxicity.score(docs, toxicity.train(rows)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), labels.crc_mod("doc_id", 4) == 2
+    rows = labels.sample(docs, table(spark, sf_dir, "labels"), "quality", ~held_out, most_rows=20_000)
+    return quality_rank.score(docs, quality_rank.train(rows)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message"), "role", "text")
+    return chat_format.digests(chat_format.render(chat_format.fold(events)))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), labels.crc_mod("doc_id", 4) == 2
+    model = language_id.train(docs.where(~held_out))
+    out = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op4_quality_ranking": op4_quality_ranking,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -183,3 +183,37 @@ def linked_in_buckets(keyed: DataFrame, bits: int, small: int = 16, large: int =
     dealt = dealt.select("key", "fp", "id", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "fp", "id")
     return links.union(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run_tiles, LINKS).select("a", "b"))
+
+
+def append(df: DataFrame, text_col: str, kernel: Callable, fields: str, keep: list[str] | None = None, max_bytes: int = 1 << 20) -> DataFrame:
+    """df, or its columns `keep`, with the columns `fields` ("name type, ...") that kernel makes of the text column.
+
+    kernel(bytes, row offsets) returns one Arrow or NumPy array for each field. A null text counts as empty. Raises
+    ValueError if a new column would clash with a kept one.
+    """
+    from cellweave.llm.kernels import text_slices
+
+    kept = df.columns if keep is None else keep
+    made = df.sparkSession.createDataFrame([], fields).schema
+    if clash := {c.lower() for c in kept} & {c.lower() for c in made.names}:
+        raise ValueError(f"columns already there: {sorted(clash)}")
+    rows = df.select(F.col(text_col).cast("string").alias("__text"), *[df[c] for c in kept])
+    schema = df.select(*[df[c] for c in kept]).schema
+    for field in made:
+        schema.add(field)
+    names = [f.name for f in schema]
+    types = [pa.int64() if t == "bigint" else pa.int32() if t == "int" else pa.float64() if t == "double" else pa.bool_() if t == "boolean" else pa.string() if t == "string" else pa.list_(pa.int64()) if t == "array<bigint>" else pa.list_(pa.float64()) for t in (f.dataType.simpleString() for f in made)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(0), max_bytes):
+                own = [batch.column(k + 1).slice(lo, hi - lo) for k in range(len(kept))]
+                new = [pa.array(x, t, from_pandas=False) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(kernel(data, offsets), types, strict=True)]
+                yield pa.record_batch(own + new, names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Consecutive groups of values as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values))
