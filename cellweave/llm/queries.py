@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat_format, labels, language_id, license_scan, packing, quality_rank, quality_rules, simhash_dedup, toxicity
+from cellweave.llm import chat_format, decontaminate, labels, language_id, license_scan, line_dedup, packing, quality_rank, quality_rules, simhash_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), labels.crc_mod("doc_id", 4) == 2
     rows = labels.sample(docs, table(spark, sf_dir, "labels"), "quality", ~held_out, most_rows=20_000)
@@ -37,6 +42,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    hits = found.select("doc_id", F.explode(F.arrays_zip("items", "scores", "question_overlaps", "answer_overlaps")).alias("h"))
+    return hits.select("doc_id", F.col("h.items").alias("item_id"), F.col("h.scores").alias("score"), F.col("h.question_overlaps").alias("question_overlap"), F.col("h.answer_overlaps").alias("answer_overlap"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -63,8 +74,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_ranking": op4_quality_ranking,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,

@@ -160,6 +160,19 @@ def bucket_links(rows: Iterator[pa.RecordBatch], bits: int, small: int, large: i
         yield from compare(np.concatenate(held, axis=1))
 
 
+def in_tiles(members: DataFrame, large: int) -> DataFrame:
+    """`members` (key, id, ...) with the groups of over `large` dealt in tiles of about half that, by a hash of the id.
+
+    Each pair of tiles gets a key of its own, under which both are found, so that all pairs of a group still meet.
+    """
+    tiles = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(large / 2)).cast("int").alias("tiles"))
+    dealt = members.join(tiles.where(F.col("tiles") > 2), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    key = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
+    return dealt.withColumn("key", key).drop("tile", "tiles", "other")
+
+
 def linked_in_buckets(keyed: DataFrame, bits: int, small: int = 16, large: int = 20_000) -> DataFrame:
     """Links (a, b) that connect all pairs of `keyed` (key, fp, id) which share a key and differ in at most `bits` bits.
 
@@ -178,11 +191,8 @@ def linked_in_buckets(keyed: DataFrame, bits: int, small: int = 16, large: int =
     left = first.where("key is not null").select("key", F.col("b").alias("fp"), F.col("a").alias("id"))
     if left.isEmpty():
         return links
-    tiles = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(large / 2)).cast("int").alias("tiles"))
-    dealt = left.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    dealt = dealt.select("key", "fp", "id", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "fp", "id")
-    return links.union(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run_tiles, LINKS).select("a", "b"))
+    dealt = in_tiles(left, large)
+    return links.union(dealt.select("key", "fp", "id").repartition("key").sortWithinPartitions("key").mapInArrow(run_tiles, LINKS).select("a", "b"))
 
 
 def append(df: DataFrame, text_col: str, kernel: Callable, fields: str, keep: list[str] | None = None, max_bytes: int = 1 << 20) -> DataFrame:
