@@ -48,10 +48,11 @@ class WordTokens:
         assert set(self.alphabet.values()) == set(pre_tokenizers.ByteLevel.alphabet())
 
     def piece(self, piece: bytes) -> bytes:
-        """Ids of a piece whose ASCII letters are in lower case; the result is kept."""
+        """Ids of a piece; the result is kept."""
         text = piece.decode()
         if _LATIN.fullmatch(text):
-            ids = [t.id for t in self.model.tokenize(text if text.isascii() else text.lower().encode().decode("latin-1").translate(self.alphabet))]
+            low = text.lower()
+            ids = [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet))]
         else:
             normal = self.tokenizer.normalizer.normalize_str(text)
             ids = [t.id for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) for t in self.model.tokenize(part)]

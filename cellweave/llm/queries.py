@@ -84,4 +84,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_CONTROL = r"(\[)(ROLE\]|INST\]|/INST\])|(<)(s>|/s>)"
+_OP7 = rf"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, length(regexp_replace(replace(text, '\', '\\'), '{_CONTROL}', '\1\3.\2\4', 'g')) AS body,
+  length(regexp_replace(replace(role, '\', '\\'), '{_CONTROL}', '\1\3.\2\4', 'g')) AS head FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(CASE WHEN role = 'assistant' THEN body + 4 ELSE body + head + 19 END)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+_RULES = ", ".join(f"({k}, {_sql(name)}, {_sql(kind)}, {_sql('>' + '>'.join(need) + '>')})" for k, (name, kind, need) in enumerate(license_scan.RULES, 1))
+_OP9 = rf"""
+WITH known(sentence, ident) AS (VALUES {", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in license_scan.SENTENCES.items())}),
+rules(rule, license, license_class, need) AS (VALUES {_RULES}),
+docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT n, unnest(p) AS part, generate_subscripts(p, 1) AS pos FROM (SELECT n, string_split(regexp_replace(regexp_replace(lower(text), '[.!?:;][ \t\n\r]+|[\n\r]', '|', 'g'), '[^a-z0-9|]+', ' ', 'g'), '|') AS p FROM docs)),
+ids AS (SELECT n, string_agg(ident, '>' ORDER BY pos) AS ids, count(*) AS k FROM parts JOIN known ON sentence = trim(part) GROUP BY n),
+hit AS (SELECT n, min(rule) AS rule FROM ids JOIN rules ON contains('>' || ids || '>', need) GROUP BY n)
+SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(k, 0)::BIGINT AS n_license_sentences, coalesce(hit.rule, 0)::BIGINT AS rule,
+  coalesce(license, CASE WHEN k > 0 THEN 'unknown' ELSE 'none' END) AS license, coalesce(license_class, CASE WHEN k > 0 THEN 'unknown' ELSE 'none' END) AS license_class
+FROM docs LEFT JOIN ids ON ids.n = docs.n LEFT JOIN hit ON hit.n = docs.n LEFT JOIN rules ON rules.rule = hit.rule"""
+
+_OP10 = r"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT n, doc_id, source, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM docs),
+words AS (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+windows AS (SELECT n, i, word AS a, lead(word, 1) OVER p AS b, lead(word, 2) OVER p AS c, lead(word, 3) OVER p AS d, lead(word, 4) OVER p AS e FROM words WINDOW p AS (PARTITION BY n ORDER BY i)),
+twice AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, a, b, c, d, e) AS k FROM windows WHERE e IS NOT NULL) WHERE k > 1),
+covered AS (SELECT n, count(DISTINCT j) AS n_repeat FROM (SELECT n, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY n),
+lines AS (SELECT n, unnest(l) AS line, generate_subscripts(l, 1) AS at FROM (SELECT n, string_split(text, chr(10)) AS l FROM docs)),
+full_lines AS (SELECT *, array_to_string(list_transform(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), ' ') AS norm,
+  len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS size FROM lines WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
+dups AS (SELECT n, sum(k - 1) AS n_dup FROM (SELECT n, line, count(*) AS k FROM full_lines GROUP BY 1, 2) GROUP BY n),
+frequent AS (SELECT source, norm FROM full_lines JOIN docs USING (n) GROUP BY source, norm HAVING count(DISTINCT doc_id) > 200),
+removed AS (SELECT n, sum(size) AS removed FROM full_lines JOIN docs USING (n) JOIN frequent f ON f.norm = full_lines.norm AND f.source IS NOT DISTINCT FROM docs.source GROUP BY n),
+out AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS removed_words
+  FROM split LEFT JOIN covered USING (n) LEFT JOIN dups USING (n) LEFT JOIN removed USING (n))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 0.3::DOUBLE * n_words AS kept FROM out"""
+
+#: The others need tokens, SimHash groups, trained models or BM25 passages, which SQL does not have; tests hold them
+#: against plain Python, exact round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": _OP7, "op9_license_scan": _OP9, "op10_quality_rules": _OP10}
