@@ -81,7 +81,7 @@ class Lexicon:
         at = np.minimum(np.searchsorted(self.term, hashes), len(self.term) - 1)
         toxic, other = self.toxic[at], self.other[at]
         if own is not None:
-            toxic, other = toxic - own, other - (1 - own)
+            toxic, other = np.maximum(toxic - own, 0), np.maximum(other - (1 - own), 0)
         return (self.term[at] == hashes) & (toxic >= 2) & (self.odds(toxic, other) >= 2.3)
 
 
