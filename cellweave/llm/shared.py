@@ -195,7 +195,7 @@ def linked_in_buckets(keyed: DataFrame, bits: int, small: int = 16, large: int =
     return links.union(dealt.select("key", "fp", "id").repartition("key").sortWithinPartitions("key").mapInArrow(run_tiles, LINKS).select("a", "b"))
 
 
-def append(df: DataFrame, text_col: str, kernel: Callable, fields: str, keep: list[str] | None = None, max_bytes: int = 1 << 20) -> DataFrame:
+def append(df: DataFrame, text_col: str, kernel: Callable, fields: str, keep: list[str] | None = None, max_bytes: int = 1 << 19) -> DataFrame:
     """df, or its columns `keep`, with the columns `fields` ("name type, ...") that kernel makes of the text column.
 
     kernel(bytes, row offsets) returns one Arrow or NumPy array for each field. A null text counts as empty. Raises
