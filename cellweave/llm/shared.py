@@ -86,12 +86,26 @@ def spread(size: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tup
     return out
 
 
-def bucket_links(rows: Iterator[pa.RecordBatch], bits: int, small: int, large: int, defer_all: bool = False) -> Iterator[pa.RecordBatch]:
+def _few_links(fp: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of fingerprints that differ in at most `bits` bits; None if there are over `most`."""
+    a, b, count = [], [], 0
+    for i in range(len(fp) - 1):
+        j = np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= bits) + i + 1
+        a.append(np.full(len(j), i))
+        b.append(j)
+        count += len(j)
+        if count > most:
+            return None
+    return np.concatenate(a), np.concatenate(b)
+
+
+def bucket_links(rows: Iterator[pa.RecordBatch], bits: int, small: int, large: int, defer_all: bool = False, sparse: int = 0) -> Iterator[pa.RecordBatch]:
     """Links between members of equal key whose fingerprints differ in at most `bits` bits.
 
     rows: batches (key, fp, id), sorted by key. Out: (a, b, null) links, and (id, fp, key) members of groups that are
     left for a second pass: those with over `large` members, and with defer_all all of over `small`. Groups of up to
-    `small` members give all their links, larger ones a spanning forest.
+    `small` members give all their links, as do those of up to `sparse` with at most four links a member; larger ones
+    give a spanning forest.
     """
     held: list[np.ndarray] = []
     count, passing = 0, None
@@ -115,6 +129,11 @@ def bucket_links(rows: Iterator[pa.RecordBatch], bits: int, small: int, large: i
             b.append(np.maximum(ident[i], ident[i + s]))
         later = []
         for at, n in zip(begin[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+            if small < n <= sparse and (got := _few_links(fp[at : at + n], bits, 4 * n)) is not None:
+                who = ident[at : at + n]
+                a.append(np.minimum(who[got[0]], who[got[1]]))
+                b.append(np.maximum(who[got[0]], who[got[1]]))
+                continue
             if defer_all or n > large:
                 later.append(np.arange(at, at + n))
                 continue
@@ -212,7 +231,7 @@ def append(df: DataFrame, text_col: str, kernel: Callable, fields: str, keep: li
     for field in made:
         schema.add(field)
     names = [f.name for f in schema]
-    types = [pa.int64() if t == "bigint" else pa.int32() if t == "int" else pa.float64() if t == "double" else pa.bool_() if t == "boolean" else pa.string() if t == "string" else pa.list_(pa.int64()) if t == "array<bigint>" else pa.list_(pa.float64()) for t in (f.dataType.simpleString() for f in made)]
+    types = [pa.int64() if t == "bigint" else pa.int32() if t == "int" else pa.float64() if t == "double" else pa.bool_() if t == "boolean" else pa.string() if t == "string" else pa.list_(pa.int64()) if t == "array<bigint>" else pa.list_(pa.list_(pa.int64())) if t == "array<array<bigint>>" else pa.list_(pa.float64()) for t in (f.dataType.simpleString() for f in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -177,3 +177,31 @@ def test_line_dedup_at_the_edges(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
     with pytest.raises(ValueError):
         line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "n_lines"))
+
+
+def test_line_dedup_by_grams_finds_what_edit_similarity_alone_finds(spark):
+    """Recall against all pairs, whatever their fingerprints: one or two words of a line of 8-30 words are replaced."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 7))) for _ in range(2000)]
+    lines = [" ".join(rng.choices(vocabulary, k=rng.randint(8, 30))) for _ in range(250)]
+    for base in lines[:250]:
+        w = base.split(" ")
+        for _ in range(rng.choice([1, 1, 2]) if len(w) > 14 else 1):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        lines.append(" ".join(w))
+    lines = list(dict.fromkeys(lines))
+    root = groups(len(lines), lambda i, j: line_dedup.similar(lines[i], lines[j], 0.8))
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(rows, grams=True).where("n_removed_lines = 1").collect()}
+    expected = {i for i, r in enumerate(root) if r != i}
+    assert len(expected) > 200 and gone <= expected
+    assert len(gone) >= 0.95 * len(expected)
+    by_words = line_dedup.dedup_lines(rows).where("n_removed_lines = 1").count()
+    assert by_words < 0.5 * len(expected)
+
+
+def test_line_dedup_by_grams_in_large_groups(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    family = [base.replace(f"word{i} ", f"other{i} ") for i in range(58)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(family * 2)], "doc_id long, text string")
+    assert line_dedup.dedup_lines(rows, grams=True).where("n_removed_lines = 0").count() == 1
