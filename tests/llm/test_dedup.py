@@ -205,3 +205,18 @@ def test_line_dedup_by_grams_in_large_groups(spark):
     family = [base.replace(f"word{i} ", f"other{i} ") for i in range(58)]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(family * 2)], "doc_id long, text string")
     assert line_dedup.dedup_lines(rows, grams=True).where("n_removed_lines = 0").count() == 1
+
+
+def test_line_dedup_by_grams_takes_short_lines_and_lines_without_spaces(spark):
+    chinese = "版权所有未经许可不得以任何方式复制或转载本网站的全部或部分内容"
+    rows = [(1, "All rights reserved.\nx\n\n"), (2, f"all  rights reserved.\ny\n\n{chinese}"), (3, f"x\n{chinese}"), (4, chinese.replace("全部", "所有"))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), grams=True).collect()}
+    assert got == {1: "All rights reserved.\nx\n\n", 2: f"y\n\n{chinese}", 3: "", 4: ""}
+
+
+def test_queries_deduplicate_lines_by_grams(spark, tmp_path):
+    from cellweave.llm import queries
+
+    rows = [(1, "all rights reserved.", None, None, 20), (2, "all rights reserved.", None, None, 20)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sum(r.n_removed_lines for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()) == 1
