@@ -71,14 +71,22 @@ def nearest(points: DataFrame, queries: DataFrame | None = None, k: int = 10, bl
         rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
         if same:
             rough[own[:, None] == ids[None]] = np.inf
-        m = min(len(ids), k + 8)  # some more, so that rounding of the matrix product can't lose a neighbour
-        part = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(len(ids)), (len(own), 1))
-        exact = np.sqrt(((x[:, None] - y[part]) ** 2).sum(2))
-        exact[np.isinf(np.take_along_axis(rough, part, 1))] = np.inf
-        order = np.lexsort((ids[part], exact), axis=1)[:, :k]
-        d = np.take_along_axis(exact, order, 1)
-        out = pd.DataFrame({"src": np.repeat(own, order.shape[1]), "dst": ids[np.take_along_axis(part, order, 1)].ravel(), "distance": d.ravel()})
-        return out[np.isfinite(out.distance)]
+        # every point that rounding of the matrix product may have put behind the k-th, and every one tied with it
+        cut = np.partition(rough, min(len(ids), k) - 1, axis=1)[:, min(len(ids), k) - 1]
+        slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * ((x * x).sum(1) + (y * y).sum(1).max())
+        near = (rough <= np.where(np.isnan(cut), np.inf, cut + slack)[:, None]) & np.isfinite(rough)
+        ends, out, row = np.cumsum(near.sum(1)), [], 0
+        while row < len(own):  # about 65,536 pairs at a time, however many are tied
+            stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + 65_536, "right")))
+            i, j = np.nonzero(near[row:stop])
+            i += row
+            exact = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+            order = np.lexsort((ids[j], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pd.DataFrame({"src": own[i[first]], "dst": ids[j[first]], "distance": exact[first]}))
+            row = stop
+        return pd.concat(out, ignore_index=True)
 
     partial = copies.groupBy("qblock", "block").cogroup(spread.groupBy("qblock", "block")).applyInPandas(best, "src long, dst long, distance double")
     ranked = partial.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("distance", "dst")))

@@ -88,3 +88,14 @@ def test_knn_smoothing(spark):
         smooth = x[near].sum(1)
     got = {(r.cell, r.gene): r.value for r in impute.knn_smoothed(rows, 4, d=3).collect()}
     assert all(got.get((i, g), 0.0) == smooth[i, g] for i in range(24) for g in range(6))
+
+
+def test_nearest_among_hundreds_of_copies(spark):
+    x = np.random.default_rng(6).normal(size=(700, 5))
+    x[np.random.default_rng(7).permutation(700)[:500]] = x[0]
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(700)], "cell long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = [(i, k + 1, int(j)) for i in range(700) for k, j in enumerate(np.lexsort((np.arange(700), d[i]))[:10])]
+    for size in (128, 4096):
+        assert sorted((r.src, r["rank"], r.dst) for r in neighbors.nearest(rows, k=10, block_rows=size).collect()) == want
