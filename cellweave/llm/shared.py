@@ -99,6 +99,18 @@ def _few_links(fp: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(a), np.concatenate(b)
 
 
+def without_repeats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, fp, id), sorted by key and id, without repeated (key, id)."""
+    last = None
+    for batch in rows:
+        key, ident = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        if not len(key):
+            continue
+        new = np.append((key[0], ident[0]) != last, (key[1:] != key[:-1]) | (ident[1:] != ident[:-1]))
+        last = (key[-1], ident[-1])
+        yield batch.filter(pa.array(new))
+
+
 def bucket_links(rows: Iterator[pa.RecordBatch], bits: int, small: int, large: int, defer_all: bool = False, sparse: int = 0) -> Iterator[pa.RecordBatch]:
     """Links between members of equal key whose fingerprints differ in at most `bits` bits.
 
