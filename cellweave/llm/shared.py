@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +25,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and survives lost executors."""
+def cut(df: DataFrame, large: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    Spark deletes a shuffle's files once the driver has collected the plan that made them; after large ones it is asked to.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if large:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the columns _file and _row (long), which tell its rows apart and are the same whenever they are read.
+
+    They are a hash of the file's path and the row's place in the file where docs is a table of Parquet files as it was
+    read; the rows of any other plan are numbered once, in a copy in the shared folder.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        except AnalysisException:  # files of another kind have no row_index
+            pass
+    return cut(docs.withColumn("_file", F.lit(0).cast("long")).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by cut() that nothing reads any more."""
     spark, path = df.sparkSession, getattr(df, "_cut_path", None)
