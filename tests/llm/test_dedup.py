@@ -214,6 +214,59 @@ def test_line_dedup_by_grams_takes_short_lines_and_lines_without_spaces(spark):
     assert got == {1: "All rights reserved.\nx\n\n", 2: f"y\n\n{chinese}", 3: "", 4: ""}
 
 
+def plain_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def test_recall_of_line_dedup_over_the_given_documents(spark):
+    """All pairs of lines of 300 documents with edit similarity 0.8, found by plain comparison: at least 0.9 are joined."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(300)
+    lines = sorted({" ".join(re.sub("[A-Z]", lambda m: m[0].lower(), x).split()) for r in docs.collect() for x in (r.text or "").split("\n")}, key=len)
+    lines = [x for x in lines if 16 <= len(x) <= 300]
+    counts = np.array([np.bincount(np.frombuffer(x.encode("utf-16-le"), np.uint16) % 64, minlength=64) for x in lines])
+    sizes = np.array([len(x) for x in lines])
+    pairs = []
+    for i in range(len(lines)):  # letters that differ bound the edit distance from below
+        j = np.arange(i + 1, len(lines))
+        j = j[np.maximum(counts[j] - counts[i], 0).sum(1) <= 0.2 * sizes[j]]
+        words = set(lines[i].split())
+        pairs += [(i, k) for k in j.tolist() if len(words & set(lines[k].split())) >= 0.3 * len(words) and plain_similarity(lines[i], lines[k]) >= 0.8]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(rows, grams=True).where("n_removed_lines = 1").collect()}
+    root = groups(len(lines), lambda i, j, s=set(pairs): (j, i) in s)
+    joined = sum(i in gone or k in gone for i, k in pairs)
+    assert len(pairs) >= 20 and joined >= 0.9 * len(pairs)
+    assert gone <= {i for i, r in enumerate(root) if r != i}  # nothing else goes
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("ab cd efg h ijkl mn".split()), max_size=14), st.lists(st.sampled_from("ab cd efg h ijkl mn".split()), max_size=14), st.floats(0.5, 0.95))
+def test_similar_equals_plain_edit_similarity(a, b, least):
+    a, b = " ".join(a), " ".join(b)
+    if a or b:
+        want = line_dedup.edit_distance(a, b) <= int((1 - least) * max(len(a), len(b)) + 1e-9)
+        assert line_dedup.similar(a, b, least) == want
+
+
+def test_rows_are_told_apart_by_their_files(spark, tmp_path):
+    rows = [(k % 7, f"line {k % 5} of the text that is repeated\nown line number {k} {'abcdefghij'[k % 10] * 9}", None, None, k) for k in range(60)]
+    spark.createDataFrame(rows, DOCS).repartition(5).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    files = shared.numbered(read)
+    assert files.select("_file", "_row").distinct().count() == 60 and files.select("_file").distinct().count() == 5
+    by_file = sorted((r.n_chars, r.text) for r in line_dedup.dedup_lines(read, grams=True).collect())
+    assert sum("that is repeated" in t for _, t in by_file) == 1 or sum(t.startswith("line") for _, t in by_file) <= 5
+    long = spark.createDataFrame([(1, "word " * 60_000 + "\nsame line here\n" + "x" * 300_000), (2, "same  line here\n" + "x" * 300_000)], "doc_id long, text string")
+    assert [(r.n_lines, r.n_removed_lines) for r in line_dedup.dedup_lines(long, grams=True).orderBy("doc_id").collect()] == [(3, 0), (2, 2)]
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(read.withColumnRenamed("lang", "_gone"))
+
+
 def test_queries_deduplicate_lines_by_grams(spark, tmp_path):
     from cellweave.llm import queries
 
