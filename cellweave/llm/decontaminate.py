@@ -1,9 +1,11 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items with block-max bounds, then an overlap check.
+"""Benchmark decontamination: BM25 over an inverted index of test items with block-max WAND, then an overlap check.
 
 Every text is cut into overlapping passages, each long enough to hold any item whole, and every passage is a query. An
 item's score is the sum of the BM25 weights of its terms that the passage has, as a share of the sum over all its terms.
-Items lie in blocks; a term's largest weight in a block bounds what it can add to any item there, so a block whose
-bounds do not sum to the threshold is skipped (block-max WAND), and only the rest is scored from the postings.
+Document frequencies, the number of items and their mean length are those of all items, however these are dealt.
+A passage is skipped if the largest weights of its terms do not sum to the threshold. Items lie in blocks: of the other
+passages, a block is skipped if the largest weights in it do not sum to the threshold (block-max WAND), and only the
+postings of blocks that are left are read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from cellweave.llm import kernels as K
 from cellweave.llm import shared
 
 BLOCK = 16
-SHARD = 1024
+#: Words, and entries of the index, that are looked at together; a text or an index of more is taken in pieces.
+STEP = 1 << 17
 FIELDS = "items array<long>, scores array<double>, question_overlaps array<double>, answer_overlaps array<double>"
 _EDGE = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}"))
 
@@ -27,41 +30,65 @@ _EDGE = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}"))
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word without outer marks and case, first word of each row)."""
     starts, ends, first = K.words(data, offsets)
-    for _ in range(3 if len(starts) else 0):
-        starts = starts + (_EDGE[data[starts]] & (ends - starts > 1))
-        ends = ends - (_EDGE[data[ends - 1]] & (ends - starts > 1))
+    starts, ends = K.without_marks(data, starts, ends, _EDGE)
     return K.hash_spans(data, starts, ends, K.BYTE_MIX_LOWER), first
 
 
 @dataclass
-class Shard:
-    """An inverted index of up to SHARD items; weights are shares of an item's whole score."""
+class Index:
+    """An inverted index of items in blocks; weights are shares of an item's whole score.
+
+    Postings are sorted by (term, item). An entry is a term's run of postings in one block, with their largest weight.
+    """
 
     item_ids: list[int]
     term: np.ndarray
-    first: np.ndarray
-    posting: np.ndarray
+    #: The largest weight of each term, and its first entry.
+    top: np.ndarray
+    entries: np.ndarray
+    entry_block: np.ndarray
+    entry_top: np.ndarray
+    #: The first posting of each entry.
+    postings: np.ndarray
+    item: np.ndarray
     weight: np.ndarray
-    #: (terms, blocks): the largest weight of each term in each block.
-    bound: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    n_blocks: int
+
+
+def term_batches(batches):
+    """mapInArrow function from (deal, text) to (deal, term): the terms of each item, each once."""
+    for batch in batches:
+        for lo, hi, data, offsets in K.text_slices(batch.column(1)):
+            words, first = term_hashes(data, offsets)
+            row = np.repeat(np.arange(hi - lo), np.diff(first))
+            order = np.lexsort((words, row))
+            words, row = words[order], row[order]
+            new = np.append(True, (words[1:] != words[:-1]) | (row[1:] != row[:-1]))[: len(words)]
+            deal = batch.column(0).slice(lo, hi - lo).take(pa.array(row[new]))
+            yield pa.record_batch([deal, pa.array(words[new].view(np.int64))], ["deal", "term"])
 
 
-def build_shard(items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75) -> Shard:
+def build_index(items: list[tuple[int, str]], frequency: tuple[np.ndarray, np.ndarray], n_items: int, mean_length: float, block: int = BLOCK, k1: float = 1.2, b: float = 0.75) -> Index:
+    """An index of `items`; frequency (sorted terms, numbers of items that have them), n_items and mean_length are those of all items."""
     raw = [t.encode() for _, t in items]
-    words, first = term_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    words, first = term_hashes(np.frombuffer(b"".join(raw), np.uint8) if raw else np.empty(0, np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]))
     length = np.diff(first)
     item = np.repeat(np.arange(len(items)), length)
     term, code = np.unique(words, return_inverse=True)
-    pair, tf = np.unique(code * len(items) + item, return_counts=True)
-    of_term, of_item = pair // len(items), pair % len(items)
-    df = np.bincount(of_term, minlength=len(term))
-    idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-    weight = idf[of_term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[of_item] / length.mean()))
+    pair, tf = np.unique(code * max(len(items), 1) + item, return_counts=True)
+    of_term, of_item = pair // max(len(items), 1), pair % max(len(items), 1)
+    df = frequency[1][np.searchsorted(frequency[0], term)]
+    idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
+    weight = idf[of_term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[of_item] / mean_length))
     weight /= np.bincount(of_item, weight, len(items))[of_item]
-    bound = np.zeros((len(term), -(-len(items) // BLOCK)), np.float32)
-    np.maximum.at(bound, (of_term, of_item // BLOCK), weight)
+    n_blocks = -(-len(items) // block)
+    key = of_term * max(n_blocks, 1) + of_item // block
+    postings = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    entry_top = np.maximum.reduceat(weight, postings) if len(postings) else weight
+    entries = np.searchsorted(of_term[postings], np.arange(len(term) + 1))
+    top = np.maximum.reduceat(entry_top, entries[:-1]) if len(term) else entry_top
     question, answer = [], []
     for k, (_, text) in enumerate(items):
         own = words[first[k] : first[k + 1]]
@@ -70,7 +97,8 @@ def build_shard(items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75)
         split = inner[-1] if inner else max(1, len(own) * 2 // 3)
         question.append(own[:split])
         answer.append(own[split:])
-    return Shard([i for i, _ in items], term, np.searchsorted(of_term, np.arange(len(term) + 1)), of_item, weight, bound, question, answer)
+    blocks = of_item[postings] // block
+    return Index([i for i, _ in items], term, top, entries, blocks, entry_top, np.append(postings, len(pair)), of_item, weight, question, answer, n_blocks)
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -86,74 +114,108 @@ def overlap(part: np.ndarray, passage: np.ndarray, n: int) -> float:
     return float(np.isin(own, shingles(passage, min(n, max(len(part), 1)))).mean()) if len(own) else 1.0
 
 
-def retrieve(words: np.ndarray, first: np.ndarray, shard: Shard, stride: int, threshold: float) -> list[tuple[int, int, int, float]]:
+def _pieces(sizes: np.ndarray, most: int):
+    """Consecutive ranges (lo, hi) whose sizes sum to about `most`; one that is larger stands alone."""
+    total, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _expand(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the groups `which` of a list of groups that begin at `first`: (place, number in which)."""
+    size = first[which + 1] - first[which]
+    return np.repeat(first[which], size) + K.positions(size)[1], np.repeat(np.arange(len(which)), size)
+
+
+def _score(passage: np.ndarray, term: np.ndarray, index: Index, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, item, score) of scores of at least the threshold, for passages given by their terms (sorted by passage and term)."""
+    entry, of = _expand(index.entries, term)
+    own, number = np.unique(passage, return_inverse=True)
+    block = number[of] * index.n_blocks + index.entry_block[entry]
+    open_block = np.bincount(block, index.entry_top[entry], len(own) * index.n_blocks) >= threshold - 1e-9
+    kept = open_block[block]
+    posting, of_entry = _expand(index.postings, entry[kept])
+    pair, at = np.unique(number[of][kept][of_entry] * len(index.item_ids) + index.item[posting], return_inverse=True)
+    score = np.bincount(at, index.weight[posting], len(pair))
+    hit = score >= threshold - 1e-9
+    return own[pair[hit] // len(index.item_ids)], pair[hit] % len(index.item_ids), score[hit]
+
+
+def retrieve(words: np.ndarray, first: np.ndarray, index: Index, stride: int, threshold: float) -> list[tuple[int, int, int, float]]:
     """(row, first word, item, score) of all passages and items whose score is at least the threshold."""
     n = np.diff(first)
     chunks = np.maximum(-(-n // stride), 1)
     base = np.cumsum(chunks) - chunks
-    place = np.arange(len(words)) - np.repeat(first[:-1], n)
-    chunk = np.repeat(base, n) + place // stride
-    at = np.minimum(np.searchsorted(shard.term, words), len(shard.term) - 1)
-    known = shard.term[at] == words
-    at, chunk, place = at[known], chunk[known], place[known]
-    # A passage is two chunks in a row: a chunk's terms are queries of its own passage and of the one before.
-    before = place >= stride
-    key = np.concatenate([chunk, chunk[before] - 1]) * len(shard.term) + np.concatenate([at, at[before]])
-    key = np.unique(key)
-    passage, term = key // len(shard.term), key % len(shard.term)
-    begin = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])[: len(passage)])
-    if not len(begin):
-        return []
-    bound = np.add.reduceat(shard.bound[term], begin, axis=0)
-    p, block = np.nonzero(bound >= threshold - 1e-4)
-    out, stop = [], np.append(begin[1:], len(term))
-    for which in np.unique(p):
-        own = term[begin[which] : stop[which]]
-        size = shard.first[own + 1] - shard.first[own]
-        i = np.repeat(shard.first[own], size) + K.positions(size)[1]
-        score = np.bincount(shard.posting[i], shard.weight[i], len(shard.item_ids))
-        open_blocks = np.zeros(shard.bound.shape[1], bool)
-        open_blocks[block[p == which]] = True
-        hits = np.flatnonzero((score >= threshold) & open_blocks[np.arange(len(score)) // BLOCK])
-        if len(hits):
-            number = int(passage[begin[which]])
-            row = int(np.searchsorted(base, number, "right")) - 1
-            out += [(row, int(first[row] + (number - base[row]) * stride), int(h), float(score[h])) for h in hits]
+    row = np.repeat(np.arange(len(n)), chunks)
+    begin = first[:-1][row] + (np.arange(len(row)) - base[row]) * stride
+    end = np.minimum(begin + stride, first[1:][row])
+    # A passage is two chunks in a row.
+    until = np.append(np.where(row[1:] == row[:-1], end[1:], end[:-1]), end[-1:])
+    out = []
+    for lo, hi in _pieces(until - begin, STEP):
+        size = until[lo:hi] - begin[lo:hi]
+        w = words[np.repeat(begin[lo:hi], size) + K.positions(size)[1]]
+        at = np.minimum(np.searchsorted(index.term, w), len(index.term) - 1)
+        known = index.term[at] == w
+        key = np.unique(np.repeat(np.arange(lo, hi), size)[known] * len(index.term) + at[known])
+        passage, term = key // len(index.term), key % len(index.term)
+        enough = np.bincount(passage - lo, index.top[term], hi - lo) >= threshold - 1e-9
+        passage, term = passage[enough[passage - lo]], term[enough[passage - lo]]
+        group = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])[: len(passage)])
+        if not len(group):
+            continue
+        weight = np.add.reduceat(index.entries[term + 1] - index.entries[term], group) + index.n_blocks
+        for x, y in _pieces(weight, 8 * STEP):
+            part = slice(group[x], group[y] if y < len(group) else len(passage))
+            for p, item, score in zip(*_score(passage[part], term[part], index, threshold), strict=True):
+                out.append((int(row[p]), int(begin[p]), int(item), float(score)))
     return out
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text",
-         threshold: float = 0.6, least_overlap: float = 0.5, shingle: int = 5, most_items: int = 32 * SHARD) -> DataFrame:
+         threshold: float = 0.6, least_overlap: float = 0.5, shingle: int = 5, most_words: int = 1 << 21, block: int = BLOCK) -> DataFrame:
     """docs (or its columns `keep`) with the columns of FIELDS: the benchmark items found in each row's text, by rising id.
 
     An item counts if a passage reaches the threshold and holds at least least_overlap of the word shingles of the item's
     question and of its answer. The answer is the last sentence; an item of one sentence is split two thirds in. A null or
-    empty text has none; items that are null or have no word are left out, and of items with one id the best match counts.
-    Whole texts are read, whatever their length. The index goes to every task, so a benchmark of over most_items items is
-    taken in several passes.
+    empty text has none; items that are null or have no word are left out, repeated items count once, and of items with
+    one id the best match counts. Whole texts are read, whatever their length. The index goes to every task, so a
+    benchmark of over most_words words (about 100 bytes each) is dealt by a hash over several passes; neither that nor
+    the size of a block changes an item or a score. Scores within 1e-9 of the threshold count.
     """
-    items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"))
-    n = items.count()
-    passes = max(1, -(-2 * n // most_items)) if n > most_items else 1
+    items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
+    items = items.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).distinct()
+    n_words = F.size(F.split(F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")), " "))
+    n, total, longest = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(n_words), F.lit(0)), F.coalesce(F.max(n_words), F.lit(0))).first()
+    passes = -(-2 * total // most_words) if total > most_words else 1
     kept, out, made = docs.columns if keep is None else keep, docs, []
     names = [f.split()[0] for f in FIELDS.split(", ")]
+    items = items.withColumn("deal", F.pmod(F.xxhash64("id", "text"), F.lit(passes)))
+    terms = items.select("deal", "text").mapInArrow(term_batches, "deal long, term long")
+    terms = shared.cut(terms) if passes > 1 else terms
+    frequency = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = shared.cut(frequency) if passes > 1 else frequency
     for k in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)
-        texts = sorted((r["id"], r["text"]) for r in part.collect() if r["text"].encode().split())  # at most about most_items
-        stride = max([32, *(len(t.encode().split()) for _, t in texts)])
-        index = docs.sparkSession.sparkContext.broadcast(([build_shard(texts[i : i + SHARD]) for i in range(0, len(texts), SHARD)], stride))
+        texts = sorted((r["id"], r["text"]) for r in items.where(F.col("deal") == k).select("id", "text").collect())  # about most_words words at most
+        own = frequency if passes == 1 else frequency.join(terms.where(F.col("deal") == k).select("term").distinct(), "term")
+        known = own.toPandas()
+        hashes = known.term.to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        stride = max(32, longest)
+        index = docs.sparkSession.sparkContext.broadcast((build_index(texts, (hashes[order], known.df.to_numpy(np.int64)[order]), n, total / max(n, 1), block), stride))
 
         def kernel(data, offsets, index=index):
-            shards, stride = index.value
+            own, stride = index.value
             words, first = term_hashes(data, offsets)
             found: dict[tuple[int, int], tuple] = {}
-            for shard in shards:
-                for row, at, item, score in retrieve(words, first, shard, stride, threshold):
-                    own = words[at : min(at + 2 * stride, first[row + 1])]
-                    q, a = (overlap(x[item], own, shingle) for x in (shard.question, shard.answer))
-                    ident = shard.item_ids[item]
-                    if min(q, a) >= least_overlap and (score, q, a) > found.get((row, ident), (0.0,)):
-                        found[row, ident] = (score, q, a)
+            for row, at, item, score in retrieve(words, first, own, stride, threshold) if len(own.term) else []:
+                passage = words[at : min(at + 2 * stride, first[row + 1])]
+                q, a = (overlap(x[item], passage, shingle) for x in (own.question, own.answer))
+                ident = own.item_ids[item]
+                if min(q, a) >= least_overlap and (score, q, a) > found.get((row, ident), (0.0,)):
+                    found[row, ident] = (score, q, a)
             keys = sorted(found)
             start = np.searchsorted([r for r, _ in keys], np.arange(len(offsets)))
             values = [[i for _, i in keys], *([found[x][c] for x in keys] for c in range(3))]
@@ -164,7 +226,12 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
         made += [f"__{k}_{x}" for x in names]
     if clash := {c.lower() for c in kept} & set(names):
         raise ValueError(f"columns already there: {sorted(clash)}")
-    return out.select(*[out[c] for c in kept], *[F.concat(*[f"__{k}_{x}" for k in range(passes)]).alias(x) for x in names])
+    if passes == 1:
+        return out.select(*[out[c] for c in kept], *[F.col(f"__0_{x}").alias(x) for x in names])
+    # An id may have items in several passes: the best match of each counts.
+    every = F.flatten(F.array(*[F.arrays_zip(*[F.col(f"__{k}_{x}").alias(x) for x in names]) for k in range(passes)]))
+    best = F.transform(F.array_sort(F.array_distinct(F.transform(every, lambda h: h["items"]))), lambda i: F.array_max(F.transform(F.filter(every, lambda h: h["items"] == i), lambda h: F.struct(*[h[x].alias(x) for x in [*names[1:], names[0]]]))))
+    return out.select(*[out[c] for c in kept], best.alias("__best")).select(*kept, *[F.col(f"__best.{x}").alias(x) for x in names])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -69,6 +69,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return spans(data, offsets, IS_WORD[data])
 
 
+def without_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without outer bytes that are marks, however many; of a span of marks the first one is left."""
+    inner = np.flatnonzero(~marks[data])
+    lo, hi = np.searchsorted(inner, starts), np.searchsorted(inner, ends)
+    inner = np.append(inner, 0)
+    has = hi > lo
+    return np.where(has, inner[lo], starts), np.where(has, inner[hi - 1] + 1, starts + 1)
+
+
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All lines of each row, empty ones too: (starts, ends, first line of each row and the total)."""
     breaks = np.flatnonzero(data == 10)
