@@ -1,7 +1,7 @@
 """Chat formatting from an event log.
 
-A conversation is a log of events: whole messages, streamed deltas, edits, regenerations and deletions. Folding a log by
-(conversation, message) gives final messages; each is rendered to a piece of the template on its own, and the pieces of
+A conversation is a log of events: whole messages, streamed deltas, edits, regenerations and deletions. The log, sorted by
+sequence within (conversation, message), is folded into final messages; each is rendered to a piece of the template on its own, and the pieces of
 a conversation in order are its formatted text. No step needs a whole conversation in memory.
 
 Template: an assistant's message is `text</s>`, any other is `[ROLE]role[INST]text[/INST]`. A control string or a
@@ -16,6 +16,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ASSISTANT = "assistant"
@@ -32,22 +33,49 @@ def fold(events: DataFrame) -> DataFrame:
     Events of one (conv_id, message) make a message; an event whose message is null is one of its own. In order of seq,
     "message", "edit" and "regenerate" set the text anew, "delta" appends to it, and a "delete" that comes after the last
     of those removes the message; other kinds are ignored. The message stands at its first event's seq, with the first
-    role that is not null. Null texts and roles are empty; among equal seq the texts' order decides. An empty log gives
-    no rows, repeated whole messages stay as often as they occur, other columns are not read.
+    role that is not null. Null texts and roles are empty. A null seq comes before all others; among equal seq, kinds that
+    set the text come first, deletes last, and texts decide the rest. An empty log gives no rows, repeated whole messages
+    stay as often as they occur, other columns are not read.
+
+    The log is dealt by (conversation, message), so that a hot conversation is split, sorted, and folded as a stream: a
+    task holds the text of one message.
     """
-    known = events.select("conv_id", "seq", F.col("kind"), F.coalesce(F.col("message").cast("string"), F.concat(F.lit("#"), F.monotonically_increasing_id())).alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    reset, delta = F.col("kind").isin(*RESETS), F.col("kind") == "delta"
-    messages = known.where(reset | delta | (F.col("kind") == "delete")).groupBy("conv_id", "message").agg(
-        F.min("seq").alias("first"),
-        F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("role"),
-        F.max(F.when(reset, F.struct("seq", "text"))).alias("base"),
-        F.collect_list(F.when(delta, F.struct("seq", "text"))).alias("deltas"),
-        F.max(F.when(F.col("kind") == "delete", F.col("seq"))).alias("deleted"),
-    )
-    later = F.filter(F.array_sort("deltas"), lambda d: F.col("base").isNull() | (d.seq > F.col("base.seq")))
-    text = F.concat(F.coalesce("base.text", F.lit("")), F.array_join(F.transform(later, lambda d: d.text), ""))
-    gone = F.col("deleted").isNotNull() & (F.col("base").isNull() | (F.col("deleted") > F.col("base.seq")))
-    return messages.where(~gone).select("conv_id", F.col("first").alias("seq"), F.coalesce("role.role", F.lit("")).alias("role"), text.alias("text"))
+    known = events.select("conv_id", "seq", "kind", F.col("message").cast("string").alias("message"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kind = F.when(F.col("kind").isin(*RESETS), 0).when(F.col("kind") == "delta", 1).when(F.col("kind") == "delete", 2)
+    known = known.withColumn("kind", kind.cast("long")).where("kind is not null")
+    alone = known.where("message is null and kind < 2").select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), "text")
+    dealt = known.where("message is not null").repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "kind", "text", "role")
+    return alone.union(dealt.select("conv_id", "message", "seq", "kind", "role", "text").mapInArrow(fold_batches, alone.schema))
+
+
+def fold_batches(batches):
+    """mapInArrow function from (conv_id, message, seq, kind, role, text), sorted, to final messages (conv_id, seq, role, text)."""
+    now, state = None, None
+    done: list[tuple] = []
+
+    def close():
+        if state is not None and not state["gone"]:
+            done.append((now[0], state["seq"], state["role"] or "", "".join(state["parts"])))
+
+    for batch in batches:
+        for conv, message, seq, kind, role, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if now != (conv, message):
+                close()
+                now, state = (conv, message), {"seq": seq, "role": None, "parts": [], "gone": False}
+            if state["role"] is None:
+                state["role"] = role
+            if kind == 0:
+                state["parts"], state["gone"] = [text], False
+            elif kind == 1:
+                state["parts"].append(text)
+            else:
+                state["gone"] = True
+        types = [batch.schema.field(k).type for k in (0, 2, 4, 5)]
+        yield pa.record_batch([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], ["conv_id", "seq", "role", "text"])
+        done.clear()
+    close()
+    if done:
+        yield pa.record_batch([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], ["conv_id", "seq", "role", "text"])
 
 
 def escape(text: Column) -> Column:
@@ -74,17 +102,22 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def conversations(pieces: DataFrame, most_chars: int = 1 << 24) -> DataFrame:
-    """(conv_id, formatted, loss_spans) of conversations of at most most_chars; longer ones stay in pieces."""
-    sized = pieces.groupBy("conv_id").agg(F.sum(F.length("piece")).alias("chars")).where(F.col("chars") <= most_chars)
-    rows = pieces.join(sized.select(F.col("conv_id").alias("_id")), F.expr("conv_id <=> _id"), "left_semi")
-    parts = F.array_sort(F.collect_list(F.struct("seq", "role", "text", "piece", "loss_length")))
-    whole = rows.groupBy("conv_id").agg(parts.alias("parts"))
+    """(conv_id, part, formatted, loss_spans) of all conversations; loss_spans are code points of the part.
+
+    A conversation is one part, numbered 0, unless it has over most_chars code points: then each part is of whole
+    messages that begin within the same most_chars. The parts in order are the formatted text.
+    """
+    order = ["seq", "role", "text", "piece", "loss_length"]
+    at = F.coalesce(F.sum(F.length("piece").cast("long")).over(W.partitionBy("conv_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = pieces.withColumn("part", F.floor(at / most_chars).cast("long"))
+    parts = F.array_sort(F.collect_list(F.struct(*order)))
+    whole = rows.groupBy("conv_id", "part").agg(parts.alias("parts"))
     step = lambda a, p: F.struct(
         (a.at + F.length(p.piece)).alias("at"),
         F.when(p.loss_length.isNull(), a.spans).otherwise(F.concat(a.spans, F.array(F.struct(a.at.alias("start"), (a.at + p.loss_length).alias("end"))))).alias("spans"),
     )
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p.piece), "").alias("formatted"), F.aggregate("parts", zero, step).spans.alias("loss_spans"))
+    return whole.select("conv_id", "part", F.array_join(F.transform("parts", lambda p: p.piece), "").alias("formatted"), F.aggregate("parts", zero, step).spans.alias("loss_spans"))
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
