@@ -106,8 +106,13 @@ _OP9 = rf"""
 WITH known(sentence, ident) AS (VALUES {", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in license_scan.SENTENCES.items())}),
 rules(rule, license, license_class, need) AS (VALUES {_RULES}),
 docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
-parts AS (SELECT n, unnest(p) AS part, generate_subscripts(p, 1) AS pos FROM (SELECT n, string_split(regexp_replace(regexp_replace(lower(text), '[.!?:;][ \t\n\r]+|[\n\r]', '|', 'g'), '[^a-z0-9|]+', ' ', 'g'), '|') AS p FROM docs)),
-ids AS (SELECT n, string_agg(ident, '>' ORDER BY pos) AS ids, count(*) AS k FROM parts JOIN known ON sentence = trim(part) GROUP BY n),
+sentences AS (SELECT n, unnest(p) AS sentence, generate_subscripts(p, 1) AS pos FROM (SELECT n, string_split(regexp_replace(regexp_replace(regexp_replace(lower(text),
+  '{license_scan.SENTENCE_END}', '|', 'g'), '{license_scan.LINE_END}', '~', 'g'), '[^a-z0-9|~]+', ' ', 'g'), '|') AS p FROM docs)),
+split AS (SELECT n, pos, list_transform(string_split(sentence, '~'), lambda x: trim(x)) AS l FROM sentences),
+parts AS (SELECT n, pos, generate_subscripts(l, 1) AS i, unnest(l) AS line, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], ' '))) AS tail FROM split),
+read AS (SELECT n, pos, i, a.ident AS tail_ident, b.ident AS line_ident, coalesce(min(CASE WHEN a.ident IS NOT NULL THEN i END) OVER (PARTITION BY n, pos), 1000000000) AS first
+  FROM parts LEFT JOIN known a ON a.sentence = tail LEFT JOIN known b ON b.sentence = line),
+ids AS (SELECT n, string_agg(ident, '>' ORDER BY pos, i) AS ids, count(*) AS k FROM (SELECT n, pos, i, CASE WHEN i = first THEN tail_ident WHEN i < first THEN line_ident END AS ident FROM read) WHERE ident IS NOT NULL GROUP BY n),
 hit AS (SELECT n, min(rule) AS rule FROM ids JOIN rules ON contains('>' || ids || '>', need) GROUP BY n)
 SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(k, 0)::BIGINT AS n_license_sentences, coalesce(hit.rule, 0)::BIGINT AS rule,
   coalesce(license, CASE WHEN k > 0 THEN 'unknown' ELSE 'none' END) AS license, coalesce(license_class, CASE WHEN k > 0 THEN 'unknown' ELSE 'none' END) AS license_class
