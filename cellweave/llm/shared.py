@@ -16,11 +16,16 @@ LINKS = "a long, b long, key long"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a folder of our own only where neither it nor a checkpoint folder is set."""
+    """The folder that spark.checkpoint.dir or setCheckpointDir() names.
+
+    Where neither is set, a new one on a local master; on a cluster RuntimeError, as executors would not see it.
+    """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="cellweave-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 

@@ -51,10 +51,7 @@ def fold_accents(data: np.ndarray) -> np.ndarray:
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words' starts, ends and first of each row, hash of each word without outer marks, hashes of its stems)."""
     starts, ends, first = K.words(data, offsets)
-    lo, hi = starts.copy(), ends.copy()
-    for _ in range(3 if len(starts) else 0):
-        lo += _EDGE[data[lo]] & (hi - lo > 1)
-        hi -= _EDGE[data[hi - 1]] & (hi - lo > 1)
+    lo, hi = K.without_marks(data, starts, ends, _EDGE)
     prefix = K.rolling(_MIX[fold_accents(data)])
     word = K.hash_between(prefix, lo, hi)
     stems = np.stack([K.mix(K.hash_between(prefix, lo, np.minimum(lo + n, hi)) ^ np.uint64(n)) * (hi - lo >= n).astype(np.uint64) for n in STEMS])
@@ -161,9 +158,13 @@ class Model:
     base_rate: float
 
 
-def train(rows: DataFrame, most_terms: int = 20_000, trees: int = 40, depth: int = 3, seed: int = 7) -> Model:
+def train(rows: DataFrame, trees: int = 40, depth: int = 3, seed: int = 7) -> Model:
     """Fit on a bounded sample (id, text, y), y being 0 or 1.
 
+    All terms that toxic rows have far more often are in the lexicon: those of at least a 200th of the toxic rows, so at
+    most 800 times the number of different words of an average one. Calibration is fitted on raw probabilities rounded to
+    a thousandth, of which there are 1,001 at most.
+
     Three quarters of the rows (by a hash of the id) train the trees, the rest the calibration. Without rows of both
     labels in both parts there are no trees, and every score is the share of label 1 (0 without rows).
     """
@@ -174,7 +175,7 @@ def train(rows: DataFrame, most_terms: int = 20_000, trees: int = 40, depth: int
     least = max(3, n_toxic // 200)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") - 0.5) / (n_other + 1))
     odds = F.when(F.col("other") <= 1, F.lit(1e9)).otherwise(odds)
-    kept = found.where((F.col("toxic") >= least) & (odds >= 2.3)).orderBy(F.desc("toxic"), "other", "term").limit(most_terms).toPandas()
+    kept = found.where((F.col("toxic") >= least) & (odds >= 2.3)).toPandas()
     term = kept.term.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(term)
     lexicon = Lexicon(term[order], kept.toxic.to_numpy(np.int64)[order], kept.other.to_numpy(np.int64)[order], n_toxic, n_other)
@@ -194,9 +195,9 @@ def train(rows: DataFrame, most_terms: int = 20_000, trees: int = 40, depth: int
     table = shared.cut(rows.select("y", part.alias("part"), "text").mapInArrow(run, "y int, part boolean, x array<double>"))
     table = table.select(F.col("y").cast("double").alias("label"), "part", array_to_vector("x").alias("features"))
     least_rows = max(1, min(10, n_toxic // 20))  # leaves of single rows would learn noise
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, minInstancesPerNode=least_rows).fit(table.where("not part").repartition(8).cache())
-    held = fitted.transform(table.where("part")).select("label", vector_to_array("probability")[1].alias("raw"))
-    return Model(lexicon, fitted, IsotonicRegression(featuresCol="raw").fit(held), rate)
+    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, minInstancesPerNode=least_rows).fit(table.where("not part").repartition(8))
+    held = fitted.transform(table.where("part")).groupBy("label", F.round(vector_to_array("probability")[1], 3).alias("raw")).agg(F.count(F.lit(1)).cast("double").alias("rows"))
+    return Model(lexicon, fitted, IsotonicRegression(featuresCol="raw", weightCol="rows").fit(held), rate)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
