@@ -141,24 +141,30 @@ def _rule_table() -> tuple[tuple[str, str, tuple[str, ...]], ...]:
 
 
 RULES = _rule_table()
+#: The tag of SPDX ends in a colon that is no sentence's end.
+TAG = r"identifier:[ \t]+"
 #: Marks of a sentence's end (with blank lines, also of comments) and of a line's end inside a sentence.
 SENTENCE_END, LINE_END = r"[.!?:;][ \t\n\r]+|\r?\n[^a-z0-9\n\r]*\r?\n", r"[\n\r]+"
 
 
+#: No known sentence has more lines, as each has a word.
+_MOST_LINES = max(len(x.split()) for x in SENTENCES) + 1
+
+
 def _identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
     A sentence may be wrapped over lines: from the first of its lines on that begins a known sentence which ends with it,
     it is read as one, and lines before that are read alone.
     """
-    marked = F.regexp_replace(F.regexp_replace(F.lower(text), SENTENCE_END, "|"), LINE_END, "~")
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), TAG, "identifier "), SENTENCE_END, "|"), LINE_END, "~")
     sentences = F.split(F.regexp_replace(marked, "[^a-z0-9|~]+", " "), " ?[|] ?")
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(SENTENCES.items())])
     known = list(SENTENCES)  # a set of over ten literals is looked up by hash
 
     def of_lines(lines):
         tail = lambda i: F.array_join(F.slice(lines, i, F.size(lines)), " ")
-        begin = F.coalesce(F.get(F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: tail(i).isin(known)), F.lit(0)), F.size(lines) + 1)
+        begin = F.coalesce(F.get(F.filter(F.sequence(F.greatest(F.lit(1), F.size(lines) - _MOST_LINES), F.size(lines)), lambda i: tail(i).isin(known)), F.lit(0)), F.size(lines) + 1)
         alone = F.filter(F.slice(lines, F.lit(1), begin - 1), lambda x: x.isin(known))
         return F.when(begin <= F.size(lines), F.concat(alone, F.array(tail(begin)))).otherwise(alone)
 
