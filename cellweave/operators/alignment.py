@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.operators.graph import shared_neighbours
+from cellweave.operators.neighbors import nearest
 
 
 def aligned(matrices: list[DataFrame]) -> list[DataFrame]:
@@ -20,8 +21,9 @@ def aligned(matrices: list[DataFrame]) -> list[DataFrame]:
     return out
 
 
-def joined_by_position(left: DataFrame, right: DataFrame, key: str = "spot_id") -> DataFrame:
-    """JON16: rows of two tables that belong together by an explicit position; ValueError if their counts differ."""
+def joined_by_position(left: DataFrame, right: DataFrame, key: str | list[str] = "spot_id") -> DataFrame:
+    """JON16: rows of two tables that belong together by an explicit position (one column or several); ValueError if their
+    counts differ."""
     n, m = left.count(), right.count()
     if n != m:
         raise ValueError(f"{n} rows against {m}")
@@ -45,12 +47,20 @@ def inconsistent_cells(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def complete_graphs(cells: DataFrame, most: int = 150) -> DataFrame:
-    """GRF26, GRF27: (a, b) of all pairs within groups (cell, grp) of at most `most` cells; larger groups are left to
-    nearest neighbours, which is what bounds the number of pairs."""
+    """GRF26: (grp, a, b) of all pairs within groups (cell, grp) of at most `most` cells, which bounds the pairs of a cell."""
     small = cells.join(cells.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("grp"), "grp", "left_semi")
     return small.select("grp", F.col("cell").alias("a")).join(small.select("grp", F.col("cell").alias("b")), "grp").where("a < b")
 
 
+def label_graph(cells: DataFrame, most: int = 150, k: int = 10) -> DataFrame:
+    """GRF27: (grp, a, b, weight) within the groups of cells (cell, grp, v): a complete graph in groups of at most `most`
+    cells, the k nearest neighbours of each cell in larger ones; weight is the number of directions, 1 or 2."""
+    large = cells.join(cells.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("grp"), "grp", "left_semi")
+    edges = nearest(large, k=k).join(cells.select(F.col("cell").alias("src"), "grp"), "src")
+    both = edges.groupBy("grp", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    return complete_graphs(cells, most).select("grp", "a", "b", F.lit(2).cast("long").alias("weight")).union(both)
+
+
 def jaccard_bandwidth(edges: DataFrame, n: int, largest: bool = True) -> DataFrame:
     """GRF02: (cell, sigma): the mean distance over the n neighbours with the largest (or smallest non-zero) Jaccard
     index of their neighbour lists, ties by dst. edges: (src, dst, distance)."""

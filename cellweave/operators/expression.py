@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellweave.operators.ranks import quantiles
+
 
 def library_sizes(expr: DataFrame) -> DataFrame:
     """AGG01: (cell, library)."""
@@ -21,7 +23,7 @@ def detected_genes(expr: DataFrame, least_cells: int) -> DataFrame:
 def median_normalised(expr: DataFrame, library: DataFrame | None = None) -> DataFrame:
     """NUM04, NUM07: value x median library / own library; with `library` (cell, library) by that of another assay."""
     sizes = library_sizes(expr) if library is None else library
-    median = sizes.agg(F.median("library").alias("scale"))
+    median = quantiles(sizes, "library", [0.5]).select(F.col("q")[0].alias("scale"))
     return expr.join(sizes, "cell").join(F.broadcast(median)).withColumn("value", F.try_divide(F.col("value") * F.col("scale"), F.col("library"))).drop("scale")
 
 
@@ -57,7 +59,8 @@ def gene_quantile(expr: DataFrame, q: float, out: str) -> DataFrame:
     picked = ranked.join(F.broadcast(n)).groupBy("gene").agg(
         F.max(at).alias("at"), F.coalesce(F.max(F.when(place == low, F.col("value"))), F.lit(0.0)).alias("low"), F.coalesce(F.max(F.when(place == high, F.col("value"))), F.lit(0.0)).alias("high")
     )
-    return picked.select("gene", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias(out))
+    found = picked.select("gene", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias(out))
+    return expr.select("gene").distinct().join(found, "gene", "left").fillna(0.0, [out])
 
 
 def variable_genes(expr: DataFrame, top: int) -> DataFrame:
@@ -67,18 +70,27 @@ def variable_genes(expr: DataFrame, top: int) -> DataFrame:
 
 
 def rescaled_to_reference(imputed: DataFrame, reference: DataFrame, q: float = 0.99, eps: float = 1e-8) -> DataFrame:
-    """GRF16, GRF17: imputed values x (q-quantile of the reference gene) / (q-quantile of the imputed gene + eps)."""
-    factors = gene_quantile(reference, q, "target").join(gene_quantile(imputed, q, "own"), "gene")
-    joined = imputed.join(factors.select("gene", (F.col("target") / (F.col("own") + eps)).alias("factor")), "gene")
+    """GRF16, GRF17: imputed values x (q-quantile of the reference gene) / (q-quantile of the imputed gene + eps).
+
+    A gene without positive values has quantile 0, as has one that the reference lacks; its rows stay, with 0."""
+    factors = gene_quantile(imputed, q, "own").join(gene_quantile(reference, q, "target"), "gene", "left")
+    joined = imputed.join(factors.select("gene", (F.coalesce("target", F.lit(0.0)) / (F.col("own") + eps)).alias("factor")), "gene")
     return joined.withColumn("value", F.col("value") * F.col("factor")).drop("factor")
 
 
+def group_grid(expr: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, gene, n): every group (its number of cells n) with every gene; groups: (cell, grp). Groups are few: one row
+    that lists them is what each gene is combined with."""
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("grp", "n")).alias("g"))
+    return expr.select("gene").distinct().join(F.broadcast(sizes)).select("gene", F.explode("g").alias("g")).select("g.grp", "gene", "g.n")
+
+
 def marker_profile(expr: DataFrame, groups: DataFrame) -> DataFrame:
-    """AGG12: (grp, gene, mean, pct): mean expression and share of expressing cells, zeros included, and the mean's
-    z-score across groups, clipped to +-2. groups: (cell, grp)."""
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    """AGG12: (grp, gene, mean, pct) of every group and gene: mean expression and share of expressing cells, zeros
+    included, and the mean's z-score across all groups, clipped to +-2. groups: (cell, grp)."""
     sums = expr.join(groups, "cell").groupBy("grp", "gene").agg(F.sum("value").alias("s"), F.count_if(F.col("value") > 0).alias("k"))
-    means = sums.join(sizes, "grp").select("grp", "gene", (F.col("s") / F.col("n")).alias("mean"), (F.col("k") / F.col("n")).alias("pct"))
+    joined = group_grid(expr, groups).join(sums, ["grp", "gene"], "left")
+    means = joined.select("grp", "gene", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean"), (F.coalesce("k", F.lit(0)) / F.col("n")).alias("pct"))
     w = W.partitionBy("gene")
     z = F.coalesce(F.try_divide(F.col("mean") - F.avg("mean").over(w), F.stddev_samp("mean").over(w)), F.lit(0.0))
     return means.withColumn("z", F.least(F.greatest(z, F.lit(-2.0)), F.lit(2.0)))

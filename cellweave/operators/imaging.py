@@ -112,9 +112,18 @@ def process(slices: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
 
 
 def clipped(slices: DataFrame, low: float = 0.001, high: float = 0.999) -> DataFrame:
-    """IMG06: values between two quantiles of the whole volume (fov, round, channel)."""
+    """IMG06: values between two quantiles of the whole volume (fov, round, channel), from the slices' counts of values."""
     volume = KEYS[:3]
-    bounds = slices.select(*volume, F.explode("data").alias("v")).groupBy(*volume).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
+
+    def counted(batches):
+        for batch in batches:
+            for *key, data in zip(*(batch[c] for c in (*volume, "data")), strict=True):
+                v, c = np.unique(np.asarray(data, float), return_counts=True)
+                yield pd.DataFrame({**{name: [x] * len(v) for name, x in zip(volume, key, strict=True)}, "v": v, "c": c})
+
+    schema = slices.select(*volume, F.lit(0.0).alias("v"), F.lit(0).cast("long").alias("c")).schema
+    counts = slices.select(*volume, "data").mapInPandas(counted, schema).groupBy(*volume, "v").agg(F.sum("c").alias("c"))
+    bounds = counts.groupBy(*volume).agg(F.percentile("v", F.array(F.lit(low), F.lit(high)), F.col("c")).alias("q"))
     joined = slices.join(bounds, volume)
     return joined.withColumn("data", F.transform("data", lambda v: F.least(F.greatest(v, F.col("q")[0]), F.col("q")[1]))).select(*slices.columns)
 

@@ -14,10 +14,26 @@ from cellweave.sources.shared import materialised
 
 
 def gene_vectors(expr: DataFrame, genes: list) -> DataFrame:
-    """(cell, v): one array per cell over the given genes, 0 where nothing was measured."""
-    entry = F.map_from_entries(F.collect_list(F.struct("gene", "value")))
-    wide = expr.groupBy("cell").agg(entry.alias("m"))
-    return wide.select("cell", F.transform(F.array(*[F.lit(g) for g in genes]), lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0.0))).alias("v"))
+    """(cell, v): one array per cell over the given genes (sorted), 0 where nothing was measured.
+
+    A cell's values are gathered with their genes' places, from a table of genes of which there are some ten thousands at
+    most, and scattered into its array in an Arrow task.
+    """
+    spark, size = expr.sparkSession, len(genes)
+    kind = expr.schema["gene"].dataType.simpleString()
+    places = F.broadcast(spark.createDataFrame(list(zip(genes, range(size), strict=True)), f"gene {kind}, at int"))
+    wide = expr.join(places, "gene").groupBy("cell").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("v"))
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = np.zeros((len(batch), size))
+            for row, at, v in zip(rows, batch["at"], batch["v"], strict=True):
+                row[at] = v
+            yield pd.DataFrame({"cell": batch["cell"], "v": list(rows)})
+
+    return wide.mapInPandas(run, wide.select("cell", F.col("v").cast("array<double>").alias("v")).schema)
 
 
 def knn_smoothed(expr: DataFrame, k: int, d: int = 10, dither: float = 0.0) -> DataFrame:

@@ -50,17 +50,22 @@ def nearest(points: DataFrame, queries: DataFrame | None = None, k: int = 10, bl
 
     Queries and points are dealt into blocks of about block_rows by a hash of the id, and each pair of blocks is one
     task's matrix product that keeps the k best; the partial lists, k per query and block, are then merged. Without
-    `queries` all points ask, and a point is not its own neighbour.
+    `queries` all points ask, and a point is not its own neighbour. With a column grp in `points` (and `queries`), only
+    points of one group are neighbours, and only blocks of one group meet.
     """
     same = queries is None
     asked = points if same else queries
-    n = points.count()
-    blocks = max(1, -(-n // block_rows))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    target = points.select("cell", "v", deal("cell").alias("block"))
-    copies = asked.select("cell", "v", deal("cell").alias("qblock"), F.explode(every).alias("block"))
-    spread = target.select("cell", "v", F.explode(every).alias("qblock"), "block")
+    if "grp" in points.columns:
+        blocks = F.col("blocks")
+        sizes = points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("blocks"))
+        points, asked, group = points.join(sizes, "grp"), asked.join(sizes, "grp"), ["grp"]
+    else:
+        blocks, group = F.lit(max(1, -(-points.count() // block_rows))).cast("long"), []
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    deal = lambda c: F.pmod(F.xxhash64(c), blocks)
+    target = points.select("cell", "v", *group, deal("cell").alias("block"), every.alias("every"))
+    copies = asked.select("cell", "v", *group, deal("cell").alias("qblock"), F.explode(every).alias("block"))
+    spread = target.select(*[F.col(c).alias(c) for c in ("cell", "v", *group)], F.explode("every").alias("qblock"), "block")
 
     def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -88,7 +93,7 @@ def nearest(points: DataFrame, queries: DataFrame | None = None, k: int = 10, bl
             row = stop
         return pd.concat(out, ignore_index=True)
 
-    partial = copies.groupBy("qblock", "block").cogroup(spread.groupBy("qblock", "block")).applyInPandas(best, "src long, dst long, distance double")
+    partial = copies.groupBy(*group, "qblock", "block").cogroup(spread.groupBy(*group, "qblock", "block")).applyInPandas(best, "src long, dst long, distance double")
     ranked = partial.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("distance", "dst")))
     return ranked.where(F.col("rank") <= k)
 

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators.graph import laplacian
-from cellweave.sources.shared import materialised
+from cellweave.sources.shared import materialised, released
 
 
 def gram(rows: DataFrame, a: str = "x", b: str | None = None) -> np.ndarray:
-    """Sum over rows of a b^T, for array columns a and b: partial sums per partition, one small matrix at the end."""
+    """Sum over rows of a b^T, for array columns a and b: a partial sum per partition, packed in one row for each line of
+    the matrix, is added up line by line, so that a task of the sum holds one line at a time."""
 
     def part(batches):
         total = None
@@ -29,34 +30,51 @@ def gram(rows: DataFrame, a: str = "x", b: str | None = None) -> np.ndarray:
 
             yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
 
+    def add(lines):
+        import pandas as pd
+
+        return pd.DataFrame({"i": lines.i.iloc[:1], "row": [np.sum(np.stack(lines.row.to_numpy()), axis=0)]})
+
     chosen = rows.select(F.col(a).alias("a"), *([F.col(b).alias("b")] if b else []))
-    parts = chosen.mapInPandas(part, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
-    found = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()  # width x width rows
-    out = np.zeros((int(found.i.max()) + 1, int(found.j.max()) + 1)) if len(found) else np.zeros((0, 0))
-    out[found.i, found.j] = found.v
-    return out
+    parts = chosen.mapInPandas(part, "i long, row array<double>")
+    found = parts.groupBy("i").applyInPandas(add, "i long, row array<double>").toPandas().sort_values("i")  # width lines
+    return np.stack(found.row.to_numpy()) if len(found) else np.zeros((0, 0))
 
 
 def times(column: Column | str, matrix: np.ndarray) -> Column:
-    """An array column times a small matrix."""
+    """An array column times a matrix of a block's width (tens): its entries are literals of the plan."""
     cols = F.array(*[F.array(*[F.lit(float(v)) for v in col]) for col in matrix.T])
     return F.transform(cols, lambda m: F.aggregate(F.zip_with(F.col(column) if isinstance(column, str) else column, m, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v))
 
 
-def product(edges: DataFrame, block: DataFrame, shift: float = 0.0, factor: float = 1.0, low_rank: list[tuple[float, DataFrame]] = ()) -> DataFrame:
-    """shift x + factor (A - sum alpha U U^T) x for edges A (src, dst, weight) and (alpha, U) pairs, U being (cell, u)."""
-    width = len(block.select("x").first()["x"])
-    parts = [block.select("cell", F.posexplode(F.transform("x", lambda v: v * shift)).alias("j", "v"))]
-    moved = edges.join(block.withColumnRenamed("cell", "dst"), "dst").select(F.col("src").alias("cell"), F.posexplode(F.transform("x", lambda v: v * F.col("weight") * factor)).alias("j", "v"))
-    parts.append(moved)
+def projected(rows: DataFrame, matrix: np.ndarray, offset: np.ndarray) -> DataFrame:
+    """(cell, x): rows (cell, v) less offset, times a matrix of any height, which goes to the tasks as a broadcast."""
+    given = rows.sparkSession.sparkContext.broadcast((matrix, offset))
+
+    def run(batches):
+        import pandas as pd
+
+        m, o = given.value
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"cell": batch["cell"], "x": list((np.stack(batch["v"].to_numpy()) - o) @ m)})
+
+    schema = rows.select("cell", F.lit(None).cast("array<double>").alias("x")).schema
+    return rows.select("cell", "v").mapInPandas(run, schema)
+
+
+def product(edges: DataFrame, block: DataFrame, shift: float = 0.0, factor: float = 1.0, low_rank: list[tuple[float, DataFrame]] = (), width: int | None = None) -> DataFrame:
+    """shift x + factor (A - sum alpha U U^T) x for edges A (src, dst, weight) and (alpha, U) pairs, U being (cell, u).
+
+    The width of the block is a number of sums in one aggregation, so a product is one join and one combined shuffle."""
+    width = width or len(block.select("x").first()["x"])
+    entries = lambda scale: [(F.col("x")[j] * scale).alias(f"x{j}") for j in range(width)]
+    total = block.select("cell", *entries(shift)).union(edges.join(block.withColumnRenamed("cell", "dst"), "dst").select(F.col("src").alias("cell"), *entries(F.col("weight") * factor)))
     for alpha, basis in low_rank:
         small = gram(basis.join(block, "cell"), "u", "x")
-        parts.append(basis.select("cell", F.posexplode(times("u", -factor * alpha * small)).alias("j", "v")))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.union(p)
-    summed = total.groupBy("cell", "j").agg(F.sum("v").alias("v"))
-    return summed.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("p")).select("cell", F.transform("p", lambda s: s.v).alias("x")).where(F.size("x") == width)
+        total = total.union(basis.select("cell", times("u", -factor * alpha * small).alias("x")).select("cell", *entries(1.0)))
+    summed = total.groupBy("cell").agg(*[F.sum(f"x{j}").alias(f"x{j}") for j in range(width)])
+    return summed.select("cell", F.array(*[f"x{j}" for j in range(width)]).alias("x"))
 
 
 def _orthonormal(block: DataFrame) -> DataFrame:
@@ -65,33 +83,47 @@ def _orthonormal(block: DataFrame) -> DataFrame:
     return materialised(block.select("cell", times("x", v / np.sqrt(np.maximum(lam, 1e-300))).alias("x")))
 
 
-def extreme_eigenpairs(edges: DataFrame, nodes: DataFrame, k: int, shift: float, factor: float, steps: int = 6, extra: int = 6, low_rank=()) -> tuple[np.ndarray, DataFrame]:
+def extreme_eigenpairs(edges: DataFrame, nodes: DataFrame, k: int, shift: float, factor: float, steps: int = 6, extra: int = 8, low_rank=(), tolerance: float = 1e-3, most_rounds: int = 20) -> tuple[np.ndarray, DataFrame]:
     """LIN08, LIN09: the k largest eigenvalues of shift + factor (A - sum alpha U U^T) and their vectors (cell, u).
 
-    Block Krylov: a block of k + extra columns, started from hashes of the node ids, is multiplied `steps` times; the
-    Rayleigh-Ritz problem over all blocks gives the pairs. A step costs one join with the edges and one small Gram matrix.
+    Block Krylov with restarts: a block of k + extra columns, started from hashes of the node ids, is multiplied `steps`
+    times; the Rayleigh-Ritz problem over all blocks gives pairs, and the best k + extra vectors start the next round.
+    It ends when every residual |M u - value u| is at most `tolerance` times the largest value, by which the values are
+    off at most that much; RuntimeError after most_rounds. A step costs one join with the edges and one small Gram matrix.
     """
     width = k + extra
-    start = F.array(*[(F.pmod(F.xxhash64("cell", F.lit(j)), F.lit(2_000_003)) / 1_000_001.5 - 1) for j in range(width)])
-    blocks, images = [_orthonormal(nodes.select("cell", start.alias("x")))], []
-    for _ in range(steps):
-        images.append(materialised(product(edges, blocks[-1], shift, factor, low_rank)))
-        blocks.append(_orthonormal(images[-1]))
-    whole = blocks[0].select("cell", F.col("x").alias("q"))
-    for b, name in [(blocks[i], f"q{i}") for i in range(1, steps)]:
-        whole = whole.join(b.select("cell", F.col("x").alias(name)), "cell").select("cell", F.concat("q", name).alias("q"))
-    image = images[0].select("cell", F.col("x").alias("y"))
-    for b, name in [(images[i], f"y{i}") for i in range(1, steps)]:
-        image = image.join(b.select("cell", F.col("x").alias(name)), "cell").select("cell", F.concat("y", name).alias("y"))
-    both = materialised(whole.join(image, "cell"))
-    g, h = gram(both, "q"), gram(both, "q", "y")
-    lam, v = np.linalg.eigh(g)
-    keep = lam > 1e-10 * lam.max()
-    base = v[:, keep] / np.sqrt(lam[keep])
-    small = base.T @ ((h + h.T) / 2) @ base
-    value, vector = np.linalg.eigh(small)
-    order = np.argsort(-value)[:k]
-    return value[order], materialised(both.select("cell", times("q", base @ vector[:, order]).alias("u")))
+    start = nodes.select("cell", F.array(*[(F.pmod(F.xxhash64("cell", F.lit(j)), F.lit(2_000_003)) / 1_000_001.5 - 1) for j in range(width)]).alias("x"))
+    for _ in range(most_rounds):
+        blocks, images = [_orthonormal(start)], []
+        for step in range(steps):
+            images.append(materialised(product(edges, blocks[-1], shift, factor, low_rank, width)))
+            if step < steps - 1:
+                blocks.append(_orthonormal(images[-1]))
+        whole = blocks[0].select("cell", F.col("x").alias("q")).join(images[0].select("cell", F.col("x").alias("y")), "cell")
+        for q, y in zip(blocks[1:], images[1:], strict=True):
+            more = q.select("cell", F.col("x").alias("q1")).join(y.select("cell", F.col("x").alias("y1")), "cell")
+            whole = whole.join(more, "cell").select("cell", F.concat("q", "q1").alias("q"), F.concat("y", "y1").alias("y"))
+        both = materialised(whole.select("cell", F.concat("q", "y").alias("x")))
+        m = gram(both)
+        n = len(m) // 2
+        g, h, yy = m[:n, :n], m[:n, n:], m[n:, n:]
+        lam, v = np.linalg.eigh(g)
+        keep = lam > 1e-8 * lam.max()
+        base = v[:, keep] / np.sqrt(lam[keep])
+        value, vector = np.linalg.eigh(base.T @ ((h + h.T) / 2) @ base)
+        order = np.argsort(-value)
+        value, vector = value[order], base @ vector[:, order]
+        c = vector[:, :k]
+        residual = np.einsum("ij,ij->j", c, yy @ c) - 2 * value[:k] * np.einsum("ij,ij->j", c, h @ c) + value[:k] ** 2
+        if np.sqrt(np.maximum(residual, 0)).max() <= tolerance * max(abs(value[0]), 1e-300):
+            found = materialised(both.select("cell", times(F.slice("x", 1, n), c).alias("u")))
+            for used in (*blocks, *images, both):
+                released(used)
+            return value[:k], found
+        start = materialised(both.select("cell", times(F.slice("x", 1, n), vector[:, :width]).alias("x")))
+        for used in (*blocks, *images, both):
+            released(used)
+    raise RuntimeError(f"residuals up to {float(np.sqrt(max(residual.max(), 0))):.2g} after {most_rounds} rounds")
 
 
 def smallest_laplacian(edges: DataFrame, k: int, **options) -> tuple[np.ndarray, DataFrame]:
@@ -140,16 +172,52 @@ def subspace_distance(first: DataFrame, second: DataFrame) -> float:
     return float(np.sqrt(max(len(small) - (small**2).sum(), 0.0)))
 
 
-def principal_components(vectors: DataFrame, d: int) -> tuple[DataFrame, np.ndarray]:
+def principal_components(vectors: DataFrame, d: int, oversample: int = 20, rounds: int = 4) -> tuple[DataFrame, np.ndarray]:
     """LIN01, LIN03, LIN18: (cell, x): vectors (cell, v) projected on their first d components, and the share of the
-    variance each explains. The covariance is a sum over rows; each component's largest entry is positive."""
+    variance each explains. Each component's largest entry is positive.
+
+    Up to 256 columns the covariance is a sum over rows. Beyond, a randomised range finder (Halko et al., 2011) multiplies
+    it `rounds` times with a block of d + oversample columns; nothing of columns x columns is made, and what is broadcast
+    or collected has columns x (d + oversample) numbers.
+    """
     width = len(vectors.select("v").first()["v"])
-    stats = vectors.select(F.posexplode("v").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("j")
-    mean, n = stats.m.to_numpy(), int(stats.n.iloc[0])
-    cov = gram(vectors, "v") / n - np.outer(mean, mean)
-    lam, vec = np.linalg.eigh(cov)
+    sums = gram(vectors.select(F.concat(F.array(F.lit(1.0)), "v").alias("v"), F.array(F.lit(1.0)).alias("one")), "v", "one")[:, 0]
+    n, mean = sums[0], sums[1:] / sums[0]
+    if width <= 256:
+        lam, vec = np.linalg.eigh(gram(vectors, "v") / n - np.outer(mean, mean))
+        spread = lam.sum()
+    else:
+        vec = np.linalg.qr(np.random.default_rng(0).normal(size=(width, min(d + oversample, width))))[0]
+        for _ in range(rounds):
+            moved = _covariance_times(vectors, vec, mean) / n
+            vec = np.linalg.qr(moved)[0]
+        small = vec.T @ (_covariance_times(vectors, vec, mean) / n)
+        lam, inner = np.linalg.eigh((small + small.T) / 2)
+        vec = vec @ inner
+        squares = vectors.select(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("s")).agg(F.sum("s")).first()[0]
+        spread = squares / n - mean @ mean
     order = np.argsort(-lam)[: min(d, width)]
     vec = vec[:, order]
     vec = vec * np.sign(vec[np.abs(vec).argmax(0), np.arange(vec.shape[1])])
-    centred = F.zip_with("v", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b)
-    return vectors.select("cell", times(centred, vec).alias("x")), np.maximum(lam[order], 0) / max(lam.sum(), 1e-300)
+    return projected(vectors, vec, mean), np.maximum(lam[order], 0) / max(spread, 1e-300)
+
+
+def _covariance_times(vectors: DataFrame, block: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Sum over rows of (v - mean) ((v - mean)^T block): partial sums of columns x block width per partition."""
+    given = vectors.sparkSession.sparkContext.broadcast((block, mean))
+
+    def run(batches):
+        import pandas as pd
+
+        m, o = given.value
+        total = np.zeros_like(m)
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["v"].to_numpy()) - o
+                total += x.T @ (x @ m)
+        yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    width = block.shape[1]
+    parts = vectors.select("v").mapInPandas(run, "i long, row array<double>")
+    found = parts.groupBy("i").agg(*[F.sum(F.col("row")[j]).alias(f"s{j}") for j in range(width)]).toPandas().sort_values("i")
+    return found[[f"s{j}" for j in range(width)]].to_numpy()

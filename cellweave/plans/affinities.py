@@ -1,7 +1,5 @@
 """Queries on affinities, layers, communities, propagation and markers."""
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cellweave.operators import affinity as A
@@ -54,13 +52,15 @@ def propagated_knock_out(spark, sf_dir):
     return A.propagated(network, start, clamped).select("cell", "gene", r("delta", 7))
 
 
-@query(f"""WITH {B.EXPR}, g AS (SELECT s_suppkey AS cell, (s_nationkey % 4)::BIGINT AS grp FROM supplier), x AS (SELECT gene, grp, value, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0::DOUBLE AS rank, count(*) OVER (PARTITION BY gene) AS n, sum(value) OVER (PARTITION BY gene) AS s FROM expr JOIN g ON g.cell = expr.cell),
-o AS (SELECT grp, gene, sum(rank) AS r, count(*) AS n1, sum(value) AS s1, any_value(n) AS n, any_value(s) AS s, count(*) FILTER (WHERE value > 100) AS k FROM x GROUP BY 1, 2)
-SELECT grp, gene, round((r - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / sqrt(n1 * (n - n1) * (n + 1) / 12), 5) AS z, round(s1 / n1 - (s - s1) / (n - n1), 5) AS difference FROM o WHERE n > n1""")
+@query(f"""WITH {B.EXPR}, g AS (SELECT s_suppkey AS cell, (s_nationkey % 4)::BIGINT AS grp FROM supplier), d AS (SELECT g.cell, g.grp, ge.gene, coalesce(expr.value, 0)::DOUBLE AS value FROM g CROSS JOIN (SELECT DISTINCT gene FROM expr) ge LEFT JOIN expr ON expr.cell = g.cell AND expr.gene = ge.gene),
+x AS (SELECT gene, grp, value, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0::DOUBLE AS rank, count(*) OVER (PARTITION BY gene) AS n, sum(value) OVER (PARTITION BY gene) AS s FROM d),
+t AS (SELECT gene, sum(c * c * c - c) AS ties FROM (SELECT gene, value, count(*)::DOUBLE AS c FROM d GROUP BY 1, 2) GROUP BY gene),
+o AS (SELECT grp, gene, sum(rank) AS r, count(*)::DOUBLE AS n1, sum(value) AS s1, any_value(n)::DOUBLE AS n, any_value(s) AS s, count(*) FILTER (WHERE value > 0) AS k FROM x GROUP BY 1, 2)
+SELECT grp, gene, round(coalesce((r - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / nullif(sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))), 0), 0), 5) AS z, round(s1 / n1 - (s - s1) / (n - n1), 5) AS difference, round(k / n1, 5) AS pct FROM o JOIN t USING (gene) WHERE n > n1""")
 def rank_sum_markers(spark, sf_dir):
-    """AGG36, WIN13: rank-sum statistics of each gene in each group against the rest."""
+    """AGG36, WIN13: rank-sum statistics of each gene in each group against the rest, over all cells."""
     groups = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell"), (F.col("s_nationkey") % 4).cast("long").alias("grp"))
-    return A.rank_sum_markers(B.expression(spark, sf_dir), groups, 0.0).select("grp", "gene", r("z", 5), r("difference", 5))
+    return A.rank_sum_markers(B.expression(spark, sf_dir), groups, 0.0).select("grp", "gene", r("z", 5), r("difference", 5), r("pct", 5))
 
 
 @query()
@@ -71,6 +71,5 @@ def communities(spark, sf_dir):
 
 @query()
 def mixture_clusters(spark, sf_dir):
-    """MDL06: Gaussian mixture clusters of the first eight dimensions (a full covariance for each component)."""
-    rows = B.embedding(spark, sf_dir).select("cell", array_to_vector(F.slice("v", 1, 8)).alias("features"))
-    return GaussianMixture(k=4, seed=7, maxIter=20).fit(rows).transform(rows).select("cell", F.col("prediction").alias("cluster"))
+    """MDL06: clusters of a Gaussian mixture with one covariance, over all dimensions."""
+    return A.shared_covariance_mixture(B.embedding(spark, sf_dir).select("cell", "v"), 4)

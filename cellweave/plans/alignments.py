@@ -20,11 +20,11 @@ def aligned_matrices(spark, sf_dir):
     return first.select("cell", "gene", r("value", 4))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, o_totalprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND l_orderkey % 50 = 0")
+@query("SELECT e.event_id, e.value, f.user_id FROM events e JOIN events f ON f.event_id = e.event_id")
 def rows_by_key(spark, sf_dir):
-    """JON16: rows that belong together are joined by an explicit key, never by position."""
-    lines = B.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 0").select(F.col("l_orderkey"), "l_linenumber", "l_quantity")
-    return lines.join(B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey")
+    """JON16: the halves of a table are joined by an explicit key, never by position."""
+    events = B.table(spark, sf_dir, "events")
+    return A.joined_by_position(events.select("event_id", "value"), events.select("event_id", "user_id"), "event_id")
 
 
 _W = f"{KNN}, sig AS (SELECT src AS cell, distance AS sigma FROM knn WHERE rank = 10), w AS (SELECT knn.src, knn.dst, exp(-distance * distance / (a.sigma * b.sigma)) AS weight FROM knn JOIN sig a ON a.cell = knn.src JOIN sig b ON b.cell = knn.dst)"
@@ -50,11 +50,13 @@ def inconsistent_graphs(spark, sf_dir):
     return A.inconsistent_cells(edges.where("rank = 1").select("src", "dst"), edges.where("rank = 2 and src % 3 <> 0").select("src", "dst"))
 
 
-@query("WITH c AS (SELECT c_custkey AS cell, c_nationkey::BIGINT AS grp FROM customer WHERE c_custkey % 4 = 0), s AS (SELECT grp FROM c GROUP BY grp HAVING count(*) <= 16) SELECT a.grp, count(*) AS pairs FROM c a JOIN c b ON a.grp = b.grp AND a.cell < b.cell WHERE a.grp IN (SELECT grp FROM s) GROUP BY a.grp")
-def complete_small_graphs(spark, sf_dir):
-    """GRF26: complete graphs of small groups."""
-    cells = B.table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("cell"), F.col("c_nationkey").cast("long").alias("grp"))
-    return A.complete_graphs(cells, 16).groupBy("grp").agg(F.count(F.lit(1)).alias("pairs"))
+@query(f"""WITH {B.CELLS}, s AS (SELECT fov, count(*) AS n FROM cells GROUP BY fov), p AS (SELECT a.fov AS grp, a.cell AS src, b.cell AS dst, n, row_number() OVER (PARTITION BY a.cell ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.cell) AS k
+  FROM cells a JOIN cells b ON b.fov = a.fov AND b.cell <> a.cell JOIN s ON s.fov = a.fov)
+SELECT grp, least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS weight FROM p WHERE n <= 60 OR k <= 4 GROUP BY 1, 2, 3""")
+def label_graphs(spark, sf_dir):
+    """GRF26, GRF27: complete graphs of small groups, nearest neighbours within larger ones."""
+    cells = B.cells(spark, sf_dir).select("cell", F.col("fov").alias("grp"), F.array("x", "y").alias("v"))
+    return A.label_graph(cells, 60, 4)
 
 
 @query("WITH c AS (SELECT l_linenumber::BIGINT AS step, avg(l_discount) AS change FROM lineitem GROUP BY 1) SELECT step FROM (SELECT step, row_number() OVER (ORDER BY step) AS k FROM c WHERE change < 0.06) WHERE k = 2")

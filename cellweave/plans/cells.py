@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import numeric as N
 from cellweave.operators import cells as C
+from cellweave.operators import ranks
 from cellweave.plans.registry import query
 from cellweave.sources import bindings as B
 
@@ -68,9 +69,9 @@ def first_reads(spark, sf_dir):
 
 @query(f"WITH {B.READS}, f AS (SELECT gene, min(read_id) AS first FROM reads GROUP BY gene) SELECT gene, first, rank() OVER (ORDER BY first) AS code FROM f")
 def gene_codes(spark, sf_dir):
-    """WIN16: genes numbered by first appearance (one row per gene)."""
+    """WIN16: genes numbered by first appearance."""
     first = B.reads(spark, sf_dir).groupBy("gene").agg(F.min("read_id").alias("first"))
-    return first.withColumn("code", F.dense_rank().over(W.orderBy("first")).cast("long"))
+    return ranks.numbered(first, "first", name="code")
 
 
 @query("SELECT event_id FROM events WHERE contains(lower(concat_ws(' ', event_type, props)), 'rr') OR contains(lower(concat_ws(' ', event_type, props)), 'click')")

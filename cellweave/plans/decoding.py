@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.operators import cells as C
+from cellweave.operators import ranks
 from cellweave.operators import decode as D
 from cellweave.plans.registry import query
 from cellweave.sources import bindings as B
@@ -68,20 +69,20 @@ def codebook(spark, sf_dir):
     return rows.select("gene", "seq", "barcode", F.reverse("barcode").alias("reversed"), F.substring("barcode", 2, 3).alias("segment"))
 
 
-@query(f"WITH {_CODEBOOK} SELECT gene, seq AS decoded, substr(seq, 1, 1) = 'A' AND substr(seq, 6, 1) = 'A' AS anchored FROM coded WHERE seq LIKE 'A%' UNION ALL SELECT gene, '', false FROM coded WHERE seq NOT LIKE 'A%' AND false")
+@query(f"WITH {_CODEBOOK} SELECT gene, seq AS decoded, substr(seq, 1, 1) = 'A' AND substr(seq, 6, 1) = 'A' AS anchored FROM coded")
 def decoded_barcodes(spark, sf_dir):
-    """STR09, STR11: the bases of a barcode from its first base, and the anchor check."""
-    rows = sequences(spark, sf_dir).where("seq like 'A%'")
-    bases = D.decoded(D.encoded(F.col("seq"), D.COLOURS), "A", D.COLOURS)
+    """STR09, STR11: the bases of all barcodes from their first bases, and the anchor check."""
+    rows = sequences(spark, sf_dir).withColumn("barcode", D.encoded(F.col("seq"), D.COLOURS))
+    bases = F.coalesce(*[F.when(F.col("seq").startswith(c), D.decoded(F.col("barcode"), c, D.COLOURS)) for c in "ACGT"])
     return rows.select("gene", bases.alias("decoded"), D.ends_match(bases, "AA").alias("anchored"))
 
 
-@query(f"WITH {_CODEBOOK}, {_CALLED}, book AS (SELECT substr(barcode, 1, 2) AS barcode, min(gene) AS gene FROM coded WHERE gene % 2 = 0 GROUP BY 1), rd AS (SELECT spot, substr(barcode, 1, 2) AS barcode FROM called) SELECT spot, rd.barcode, coalesce(gene::VARCHAR, 'background') AS gene, gene IS NOT NULL AS in_codebook FROM rd LEFT JOIN book ON book.barcode = rd.barcode")
+@query(f"WITH {_CODEBOOK}, {_CALLED}, book AS (SELECT barcode, min(gene) AS gene FROM coded GROUP BY 1), rd AS (SELECT spot, pos, substr(barcode, pos, 5) AS barcode FROM called, (SELECT unnest(range(1, 13)) AS pos)) SELECT spot, pos, rd.barcode, coalesce(gene::VARCHAR, 'background') AS gene, gene IS NOT NULL AS in_codebook FROM rd LEFT JOIN book ON book.barcode = rd.barcode")
 def gene_lookup(spark, sf_dir):
-    """JON05: genes of called barcodes, background where there is none."""
-    book = sequences(spark, sf_dir).where("gene % 2 = 0").select(F.substring(D.encoded(F.col("seq"), D.COLOURS), 1, 2).alias("barcode"), "gene")
-    book = book.groupBy("barcode").agg(F.min("gene").cast("string").alias("gene"))
-    return D.with_genes(called(spark, sf_dir).select("spot", F.substring("barcode", 1, 2).alias("barcode")), book)
+    """JON05: the genes that the codebook has for each segment of five rounds of the called barcodes, else background."""
+    book = sequences(spark, sf_dir).select(D.encoded(F.col("seq"), D.COLOURS).alias("barcode"), "gene").groupBy("barcode").agg(F.min("gene").cast("string").alias("gene"))
+    reads = called(spark, sf_dir).select("spot", "barcode", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))).alias("pos"))
+    return D.with_genes(reads.select("spot", "pos", F.substr(F.col("barcode"), F.col("pos").cast("int"), F.lit(5)).alias("barcode")), book)
 
 
 @query(f"WITH {_CALLED}, g AS (SELECT spot, valid, quality, substr(barcode, 1, 1) <> '3' AS pattern_valid, spot % 3 <> 0 AS in_codebook FROM called), k AS (SELECT CASE WHEN NOT valid OR quality >= 0.5 THEN 'quality' WHEN NOT pattern_valid THEN 'pattern_valid' WHEN NOT in_codebook THEN 'in_codebook' ELSE 'kept' END AS gate FROM g) SELECT gate, count(*) AS n FROM k GROUP BY gate")
@@ -120,7 +121,7 @@ def box_sums(spark, sf_dir):
 def voxel_contrast(spark, sf_dir):
     """IMG04, IMG06, IMG09: percentile clip, min-max and gamma over a volume."""
     rows = voxels(spark, sf_dir)
-    q = rows.agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.min("value").alias("a"), F.max("value").alias("b"))
+    q = ranks.quantiles(rows, "value", [0.05, 0.95, 0.0, 1.0]).select("q", F.col("q")[2].alias("a"), F.col("q")[3].alias("b"))
     v = F.col("value")
     return rows.join(F.broadcast(q)).select("x", "y", F.round(F.least(F.greatest(v, F.col("q")[0]), F.col("q")[1]), 4).alias("clipped"), F.round((v - F.col("a")) / (F.col("b") - F.col("a")), 6).alias("scaled"), F.round(F.pow(F.greatest(v, F.lit(0.0)) / F.col("b"), 0.5), 6).alias("gamma"))
 

@@ -1,10 +1,10 @@
 """Queries on expression tables."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.functions import numeric as N
 from cellweave.operators import expression as X
+from cellweave.operators import ranks
 from cellweave.operators.regulon import scaled
 from cellweave.plans.registry import query
 from cellweave.sources import bindings as B
@@ -21,7 +21,7 @@ def r(c, n=6):
 def library_sizes(spark, sf_dir):
     """AGG01: library size of each cell, and their median."""
     rows = X.library_sizes(B.expression(spark, sf_dir))
-    return rows.join(F.broadcast(rows.agg(F.median("library").alias("scale")))).select("cell", r("library"), r("scale"))
+    return rows.join(F.broadcast(ranks.quantiles(rows, "library", [0.5]).select(F.col("q")[0].alias("scale")))).select("cell", r("library"), r("scale"))
 
 
 @query(f"WITH {B.EXPR} SELECT cell, gene, round(value, 6) AS value FROM expr WHERE gene IN (SELECT gene FROM expr WHERE value > 100 GROUP BY gene HAVING count(*) >= 3)")
@@ -134,7 +134,8 @@ def range_mapped_imputation(spark, sf_dir):
 
 
 @query(f"""WITH {B.EXPR}, grp AS (SELECT s_suppkey AS cell, s_nationkey::BIGINT AS grp FROM supplier), sizes AS (SELECT grp, count(*) AS n FROM grp GROUP BY grp),
-m AS (SELECT grp, gene, sum(value) / max(n) AS mean, count(*) FILTER (WHERE value > 0) / max(n) AS pct FROM expr JOIN grp USING (cell) JOIN sizes USING (grp) GROUP BY grp, gene)
+m AS (SELECT sizes.grp, d.gene, coalesce(sum(value), 0) / max(n) AS mean, count(*) FILTER (WHERE value > 0) / max(n) AS pct FROM sizes CROSS JOIN (SELECT DISTINCT gene FROM expr) d
+  LEFT JOIN (SELECT expr.*, grp FROM expr JOIN grp USING (cell)) e ON e.grp = sizes.grp AND e.gene = d.gene GROUP BY sizes.grp, d.gene)
 SELECT grp, gene, round(mean, 6) AS mean, round(pct, 6) AS pct, round(greatest(-2::DOUBLE, least(2::DOUBLE, coalesce((mean - avg(mean) OVER (PARTITION BY gene)) / nullif(stddev_samp(mean) OVER (PARTITION BY gene), 0), 0))), 5) AS z FROM m""")
 def marker_profiles(spark, sf_dir):
     """AGG12, NUM14, FLT14: mean, share expressing and z-score of each gene across groups of cells."""
@@ -155,20 +156,21 @@ def completed_expression(spark, sf_dir):
 
 @query(f"WITH {_LIB} SELECT count(*) AS n, round(avg(CASE WHEN value > 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.99), 6) AS q99, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(min(value), 6) AS low, round(max(value), 6) AS high FROM expr")
 def value_distribution(spark, sf_dir):
-    """AGG30, SRC05: one pass over all values."""
-    q = lambda p, c: F.round(F.percentile("value", p), 6).alias(c)
-    return B.expression(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("value") > 100).cast("double")), 6).alias("share"), q(0.25, "q25"), q(0.99, "q99"),
+    """AGG30, SRC05: moments and quantiles of all values."""
+    expr = B.expression(spark, sf_dir)
+    sums = expr.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("value") > 100).cast("double")), 6).alias("share"),
         F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"),
     )
+    q = ranks.quantiles(expr, "value", [0.25, 0.99]).select(F.round(F.col("q")[0], 6).alias("q25"), F.round(F.col("q")[1], 6).alias("q99"))
+    return sums.join(F.broadcast(q))
 
 
 @query(f"WITH {B.LAYERS}, t AS (SELECT cell, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY rb) + (count(*) OVER (PARTITION BY rb) - 1) / 2.0::DOUBLE AS b, total, rb FROM (SELECT cell, sum(total) AS total, sum(rb) AS rb FROM layers GROUP BY cell)) SELECT round(corr(total, rb), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM t")
 def layer_correlation(spark, sf_dir):
-    """AGG28, WIN13, JON18: Pearson and Spearman correlation of two layers' cell totals (one row per cell is ranked)."""
+    """AGG28, WIN13, JON18: Pearson and Spearman correlation of two layers' cell totals."""
     rows = B.layers(spark, sf_dir).groupBy("cell").agg(F.sum("total").alias("total"), F.sum("rb").alias("rb"))
-    ranked = lambda c: F.rank().over(W.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2.0
-    rows = rows.withColumn("a", ranked("total")).withColumn("b", ranked("rb"))
+    rows = rows.join(ranks.average_ranks(rows, "total", "a"), "total").join(ranks.average_ranks(rows, "rb", "b"), "rb")
     return rows.agg(F.round(F.corr("total", "rb"), 6).alias("pearson"), F.round(F.corr("a", "b"), 6).alias("spearman"))
 
 
@@ -177,7 +179,7 @@ SELECT cell, gene, round((least(greatest(value, lo), hi) - lo) / (hi - lo), 6) A
 def clipped_and_gated(spark, sf_dir):
     """WIN18, NUM13, NUM19, FLT11: quantile-clipped range and an adaptive sigmoid gate."""
     expr = B.expression(spark, sf_dir)
-    q = expr.agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q"))
+    q = ranks.quantiles(expr, "value", [0.05, 0.25, 0.5, 0.75, 0.95])
     at = lambda k: F.col("q")[k]
     clipped = (F.least(F.greatest("value", at(0)), at(4)) - at(0)) / (at(4) - at(0))
     gate = N.sigmoid(F.col("value"), at(2), 4 / (at(3) - at(1)))

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.operators import graph as G
+from cellweave.operators import ranks
 from cellweave.operators import neighbors as NB
 from cellweave.plans.registry import query
 from cellweave.sources import bindings as B
@@ -85,7 +86,7 @@ def nearest_neighbours(spark, sf_dir):
 @query(f"WITH {KNN} SELECT round(median(distance), 6) AS reference FROM knn WHERE rank = 10")
 def reference_distance(spark, sf_dir):
     """WIN14: the median distance of the tenth neighbour."""
-    return knn(spark, sf_dir).where("rank = 10").agg(F.round(F.median("distance"), 6).alias("reference"))
+    return ranks.quantiles(knn(spark, sf_dir).where("rank = 10"), "distance", [0.5]).select(F.round(F.col("q")[0], 6).alias("reference"))
 
 
 _KERNEL = f"{KNN}, sig AS (SELECT src AS cell, distance AS sigma FROM knn WHERE rank = 10), w AS (SELECT knn.src, knn.dst, exp(-distance * distance / (a.sigma * b.sigma)) AS weight FROM knn JOIN sig a ON a.cell = knn.src JOIN sig b ON b.cell = knn.dst)"

@@ -1,10 +1,10 @@
 """Queries on weighted graphs: transitions, diffusion, energies, Laplacians, attention."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.functions import numeric as N
 from cellweave.operators import graph as G
+from cellweave.operators import ranks
 from cellweave.plans.geometry import KNN, SYMMETRIC, kernel_edges, knn
 from cellweave.plans.registry import query
 from cellweave.sources import bindings as B
@@ -22,11 +22,11 @@ def symmetric(spark, sf_dir):
 _TRANSITION = f"""{SYMMETRIC}, top AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM sym) WHERE k <= 5),
 summed AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM top UNION ALL SELECT dst, src, weight FROM top) GROUP BY 1, 2),
 diag AS (SELECT src, dst, weight FROM summed UNION ALL SELECT src, src, max(weight) FROM summed GROUP BY src), tr AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM diag)"""
-_VALUES = "x AS (SELECT cell, gene, value FROM (SELECT vec_id AS cell, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) AS gene FROM embeddings) WHERE gene <= 4)"
+_VALUES = "x AS (SELECT cell, gene, value FROM (SELECT vec_id AS cell, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) AS gene FROM embeddings))"
 
 
 def values(spark, sf_dir):
-    rows = B.embedding(spark, sf_dir).select("cell", F.posexplode(F.slice("v", 1, 4)).alias("gene", "value"))
+    rows = B.embedding(spark, sf_dir).select("cell", F.posexplode("v").alias("gene", "value"))
     return rows.select("cell", (F.col("gene") + 1).cast("long").alias("gene"), "value")
 
 
@@ -64,7 +64,7 @@ def smoothed_values(spark, sf_dir):
 def dirichlet_energies(spark, sf_dir):
     """GRF19, GRF20, GRF21: energy of each node, and over the median."""
     energy = G.dirichlet_energy(symmetric(spark, sf_dir), B.embedding(spark, sf_dir))
-    median = energy.agg((F.median("energy") + 1e-10).alias("m"))
+    median = ranks.quantiles(energy, "energy", [0.5]).select((F.col("q")[0] + 1e-10).alias("m"))
     return energy.join(F.broadcast(median)).select("cell", r("energy"), F.round(F.col("energy") / F.col("m"), 6).alias("relative"))
 
 
@@ -134,7 +134,9 @@ def attention_overview(spark, sf_dir):
     """AGG16"""
     ends = [B.embedding(spark, sf_dir).select(F.col("cell").alias(c), F.col("label").alias(n)) for c, n in (("src", "l1"), ("dst", "l2"))]
     same = F.col("l1") == F.col("l2")
-    return attention(spark, sf_dir).join(ends[0], "src").join(ends[1], "dst").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg(same.cast("double")), 6).alias("same"), F.round(F.avg(F.when(same, F.col("weight"))), 6).alias("same_mean"), F.round(F.median("weight"), 6).alias("median"))
+    rows = attention(spark, sf_dir)
+    sums = rows.join(ends[0], "src").join(ends[1], "dst").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg(same.cast("double")), 6).alias("same"), F.round(F.avg(F.when(same, F.col("weight"))), 6).alias("same_mean"))
+    return sums.join(F.broadcast(ranks.quantiles(rows, "weight", [0.5]).select(F.round(F.col("q")[0], 6).alias("median"))))
 
 
 @query(f"WITH {KNN}, c AS (SELECT src, dst, list_sum(list_transform(list_zip(a.v, b.v), lambda t: t[1] * t[2])) / (sqrt(list_sum(list_transform(a.v, lambda t: t * t))) * sqrt(list_sum(list_transform(b.v, lambda t: t * t)))) AS cosine FROM knn JOIN emb a ON a.cell = src JOIN emb b ON b.cell = dst), q AS (SELECT median(cosine) AS m, quantile_cont(cosine, 0.75) - quantile_cont(cosine, 0.25) AS iqr FROM c) SELECT src, dst, round(cosine, 6) AS cosine, round(1 / (1 + exp(-(4 / iqr) * (cosine - m))), 6) AS gate FROM c, q")
@@ -142,7 +144,7 @@ def reweighted_graph(spark, sf_dir):
     """GRF07, GRF08, ARR06, NUM13: edges gated by the cosine of their end points, centre and slope from the data."""
     ends = [B.embedding(spark, sf_dir).select(F.col("cell").alias(c), F.col("v").alias(f"v_{c}")) for c in ("src", "dst")]
     cosine = knn(spark, sf_dir).join(ends[0], "src").join(ends[1], "dst").select("src", "dst", N.cosine(F.col("v_src"), F.col("v_dst")).alias("cosine"))
-    q = cosine.agg(F.percentile("cosine", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = ranks.quantiles(cosine, "cosine", [0.25, 0.5, 0.75])
     gate = N.sigmoid(F.col("cosine"), F.col("q")[1], 4 / (F.col("q")[2] - F.col("q")[0]))
     return cosine.join(F.broadcast(q)).select("src", "dst", r("cosine"), F.round(gate, 6).alias("gate"))
 
@@ -176,12 +178,12 @@ def filter_gains(spark, sf_dir):
 
 @query(f"WITH {_SPECTRUM}, o AS (SELECT k, lam, row_number() OVER (ORDER BY lam DESC, k) AS n FROM sp), c AS (SELECT n, sum(lam) OVER (ORDER BY n) / sum(lam) OVER () AS share, lam - lead(lam) OVER (ORDER BY n) AS gap FROM o) SELECT n, round(share, 6) AS share, round(gap, 6) AS gap, n = (SELECT min(n) FROM c WHERE share >= 0.95::DOUBLE) AS cutoff FROM c")
 def energy_cutoff(spark, sf_dir):
-    """WIN10, WIN11, LIN04, LIN16: gaps and cumulative energy of a spectrum, and the first index that reaches 95 per cent
-    (a spectrum is one row per kept component)."""
+    """WIN10, WIN11, LIN04, LIN16: gaps and cumulative energy of a spectrum, and the first index that reaches 95 per cent."""
     sums = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sum("l_discount").alias("s"))
     rows = sums.join(F.broadcast(sums.agg(F.max("s").alias("m")))).select("k", (F.col("s") / F.col("m") * 2).alias("lam"))
-    w = W.orderBy("n")
-    rows = rows.withColumn("n", F.row_number().over(W.orderBy(F.desc("lam"), "k")).cast("long"))
-    rows = rows.withColumn("share", F.sum("lam").over(w) / F.sum("lam").over(W.partitionBy(F.lit(0)))).withColumn("gap", F.col("lam") - F.lead("lam").over(w))
-    first = F.min(F.when(F.col("share") >= 0.95, F.col("n"))).over(W.partitionBy(F.lit(0)))
-    return rows.select("n", r("share"), r("gap"), (F.col("n") == first).alias("cutoff"))
+    rows = ranks.running(ranks.numbered(rows, F.desc("lam"), "k", name="n"), "lam", "n", name="upto", total="all")
+    rows = rows.select("n", "lam", (F.col("upto") / F.col("all")).alias("share"))
+    following = rows.select((F.col("n") - 1).alias("n"), F.col("lam").alias("following"))
+    first = rows.where("share >= 0.95").agg(F.min("n").alias("first"))
+    out = rows.join(following, "n", "left").join(F.broadcast(first))
+    return out.select("n", r("share"), F.round(F.col("lam") - F.col("following"), 6).alias("gap"), (F.col("n") == F.col("first")).alias("cutoff"))

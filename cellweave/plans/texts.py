@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cellweave.functions import numeric as N
+from cellweave.operators import ranks
 from cellweave.plans.registry import query
 from cellweave.sources import bindings as B
 from cellweave.sources import readers, sinks
@@ -20,11 +21,9 @@ def cleaned_names(spark, sf_dir):
 
 @query("SELECT s_name, try_cast(nullif(regexp_extract(s_name, '(\\d+)', 1), '') AS BIGINT) AS number, row_number() OVER (ORDER BY try_cast(nullif(regexp_extract(s_name, '(\\d+)', 1), '') AS BIGINT) % 10, s_name) AS place FROM supplier")
 def natural_order(spark, sf_dir):
-    """STR05, SRT05, WIN17: names in order of the numbers in them (one row per name)."""
-    from pyspark.sql import Window as W
-
-    number = N.first_integer(F.col("s_name"))
-    return B.table(spark, sf_dir, "supplier").select("s_name", number.alias("number"), F.row_number().over(W.orderBy(number % 10, "s_name")).cast("long").alias("place"))
+    """STR05, SRT05, WIN17: names in order of the numbers in them."""
+    rows = B.table(spark, sf_dir, "supplier").select("s_name", N.first_integer(F.col("s_name")).alias("number"))
+    return ranks.numbered(rows, F.col("number") % 10, F.col("s_name"))
 
 
 @query("WITH r AS (SELECT n_nationkey AS id, n_nationkey::INT AS lo, (n_nationkey + n_regionkey)::INT AS hi FROM nation) SELECT DISTINCT id, unnest(range(lo, hi + 1))::INT AS fov FROM r")

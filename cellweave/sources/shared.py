@@ -5,16 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back, which ends its lineage; it survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir or setCheckpointDir() names.
+
+    Where neither is set, a new one on a local master; on a cluster RuntimeError, as executors would not see it.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="cellweave-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, which ends its lineage; it survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._materialised_at = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Delete a table that materialised() wrote and that nothing reads any more."""
+    spark, path = df.sparkSession, getattr(df, "_materialised_at", None)
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -47,6 +47,33 @@ def test_smallest_eigenpairs(spark):
     assert spectral.subspace_distance(basis, basis) < 1e-4
 
 
+def test_eigenpairs_of_a_graph_far_larger_than_the_blocks(spark):
+    x = np.random.default_rng(8).normal(size=(900, 24))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    w = np.zeros((900, 900))
+    near = np.argsort(d, axis=1)[:, 1:11]
+    for i in range(900):
+        w[i, near[i]] = np.exp(-d[i, near[i]] / 20)
+    w = np.maximum(w, w.T)
+    lap = laplacian(w)
+    value, basis = spectral.smallest_laplacian(edges_of(spark, w), 8)
+    u = matrix(basis)
+    assert np.allclose(value, np.linalg.eigvalsh(lap)[:8], atol=2e-3)
+    assert np.abs(np.linalg.norm(lap @ u - u * value, axis=0)).max() < 4e-3
+    with pytest.raises(RuntimeError):
+        spectral.smallest_laplacian(edges_of(spark, w), 8, steps=2, most_rounds=1)
+
+
+def test_components_of_many_columns(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6)) * [20, 15, 10, 8, 6, 5] @ rng.normal(size=(6, 700)) + rng.normal(size=(400, 700)) * 0.1
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(400)], "cell long, v array<double>")
+    got, share = spectral.principal_components(rows, 4)
+    z = np.array([r.x for r in got.orderBy("cell").collect()])
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    assert np.allclose((z**2).sum(0), s[:4] ** 2, rtol=1e-6) and np.allclose(share, s[:4] ** 2 / (s**2).sum(), rtol=1e-6)
+
+
 def test_fused_basis_and_components(spark):
     a, b = ring(40, 30), ring(40, 15)
     value, basis = spectral.fused_basis([edges_of(spark, a), edges_of(spark, b)], [1.0, 1.0], [0.5, 0.5], 3, steps=6)
