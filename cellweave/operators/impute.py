@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.numeric import freeman_tukey
-from cellweave.operators.expression import median_normalised
+from cellweave.operators.expression import median_normalised, restored_low_rank
 from cellweave.operators.neighbors import nearest
-from cellweave.operators.spectral import principal_components
+from cellweave.operators.spectral import chosen_rank, low_rank, principal_components, singular_values
 from cellweave.sources.shared import materialised
 
 
@@ -60,3 +60,13 @@ def knn_smoothed(expr: DataFrame, k: int, d: int = 10, dither: float = 0.0) -> D
         edges = nearest(materialised(reduced), k=now - 1).select("src", "dst").union(raw.select(F.col("cell").alias("src"), F.col("cell").alias("dst")).distinct())
         smooth = materialised(edges.join(raw.withColumnRenamed("cell", "dst"), "dst").groupBy(F.col("src").alias("cell"), "gene").agg(F.sum("value").alias("value")))
     return smooth
+
+
+def alra(expr: DataFrame, rank: int | None = None, most: int = 100, noise_start: int = 80) -> DataFrame:
+    """LIN04, LIN05: (cell, gene, value): expression completed by its approximation of the given rank or, without one, of
+    the rank that its singular values show; see restored_low_rank() for what follows the factorisation."""
+    genes = [r["gene"] for r in expr.select("gene").distinct().orderBy("gene").collect()]
+    vectors = materialised(gene_vectors(expr, genes))
+    values, vec = singular_values(vectors, most)
+    rank = chosen_rank(values, noise_start) if rank is None else rank
+    return restored_low_rank(materialised(low_rank(vectors, vec[:, :rank], genes)), expr)

@@ -166,6 +166,48 @@ def denoised(basis: DataFrame, gains: np.ndarray, values: DataFrame) -> DataFram
     return back.withColumn("value", F.greatest("value", F.lit(0.0)))
 
 
+def filtered(basis: DataFrame, gains: DataFrame, values: DataFrame, remove_constant: bool = True, add_constant: bool = False) -> DataFrame:
+    """LIN13, LIN15: V (g * V^T X) over (cell, gene, value) with the gains (k, gain) of a filter or, with a column gene,
+    of one filter for each gene. The basis is in order of rising eigenvalues; its first vector is the constant part,
+    which remove_constant takes out before the filter and add_constant puts back after it. k without a gain gives 0."""
+    long = basis.select("cell", F.posexplode("u").alias("k", "v"))
+    coefficients = long.join(values, "cell").groupBy("k", "gene").agg(F.sum(F.col("v") * F.col("value")).alias("c"))
+    kept = coefficients.where("k > 0") if remove_constant else coefficients
+    kept = kept.join(gains, ["k", "gene"] if "gene" in gains.columns else "k").select("k", "gene", (F.col("c") * F.col("gain")).alias("c"))
+    if remove_constant and add_constant:
+        kept = kept.union(coefficients.where("k = 0").select("k", "gene", "c"))
+    return long.join(kept, "k").groupBy("cell", "gene").agg(F.sum(F.col("v") * F.col("c")).alias("value"))
+
+
+def singular_values(vectors: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(falling singular values, right singular vectors as columns) of rows (cell, v), at most `most` of them, from the
+    products of columns; columns are genes, some thousands, whose products the driver holds."""
+    lam, vec = np.linalg.eigh(gram(vectors, "v"))
+    order = np.argsort(-lam)[:most]
+    return np.sqrt(np.maximum(lam[order], 0)), vec[:, order]
+
+
+def chosen_rank(values: np.ndarray, noise_start: int = 80, deviations: float = 6.0) -> int:
+    """LIN04: the last place where the gap to the next singular value lies more than `deviations` above the gaps of the
+    noise, which begins at the noise_start-th value. ValueError with fewer than five values of noise or no such place."""
+    if noise_start > len(values) - 5:
+        raise ValueError("at least five singular values have to be noise")
+    gaps = values[:-1] - values[1:]
+    noise = gaps[noise_start - 2 :]
+    above = np.flatnonzero((gaps - noise.mean()) / noise.std(ddof=1) > deviations)
+    if not len(above):
+        raise ValueError("no gap stands out from the noise")
+    return int(above[-1]) + 1
+
+
+def low_rank(vectors: DataFrame, vec: np.ndarray, genes: list) -> DataFrame:
+    """LIN05: (cell, gene, value): rows (cell, v) projected on the columns of vec, for every gene."""
+    spark, kind = vectors.sparkSession, "string" if genes and isinstance(genes[0], str) else "long"
+    places = F.broadcast(spark.createDataFrame(list(enumerate(genes)), f"at int, gene {kind}"))
+    rows = projected(vectors, vec @ vec.T, np.zeros(len(vec)))
+    return rows.select("cell", F.posexplode("x").alias("at", "value")).join(places, "at").select("cell", "gene", "value")
+
+
 def subspace_distance(first: DataFrame, second: DataFrame) -> float:
     """LIN17: projection distance sqrt(k - |U1^T U2|^2) of two orthonormal bases (cell, u)."""
     small = gram(first.select("cell", F.col("u").alias("a")).join(second.select("cell", F.col("u").alias("b")), "cell"), "a", "b")

@@ -91,3 +91,18 @@ def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
     for name, options in values.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(o) for o in options])))
     return grid.drop("_one").withColumn("run", F.concat_ws("_", *[F.concat(F.lit(n), F.col(n).cast("string")) for n in values]))
+
+
+def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """SRC06: the first n rows by key, with the names of all columns; the limit is what is asked for."""
+    return df.orderBy(key).limit(n)
+
+
+def one_sample(cells: DataFrame, sample_col: str, sample, label_col: str) -> DataFrame:
+    """SRC09: the cells of one sample that have a label."""
+    return cells.where((F.col(sample_col) == sample) & F.col(label_col).isNotNull())
+
+
+def slices_of(slices: DataFrame, fov, round_: int, channel: int) -> DataFrame:
+    """SRC13: the slices of one field of view, round and channel; on a table partitioned by them only its files are read."""
+    return slices.where((F.col("fov") == fov) & (F.col("round") == round_) & (F.col("channel") == channel))
