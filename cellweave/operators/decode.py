@@ -71,6 +71,7 @@ def with_genes(reads: DataFrame, codebook: DataFrame) -> DataFrame:
 
 
 Rule = tuple[Column, Column]
+# The names of rules and modes, which configurations use.
 #: FLT18: spot rules by name; each makes (keep, penalty) from its parameter.
 RULES: dict[str, Callable[[float], Rule]] = {
     "quality_mean_lt": lambda t: (F.col("quality") < t, F.greatest(F.col("quality") - t, F.lit(0.0))),

@@ -83,47 +83,54 @@ def _orthonormal(block: DataFrame) -> DataFrame:
     return materialised(block.select("cell", times("x", v / np.sqrt(np.maximum(lam, 1e-300))).alias("x")))
 
 
-def extreme_eigenpairs(edges: DataFrame, nodes: DataFrame, k: int, shift: float, factor: float, steps: int = 6, extra: int = 8, low_rank=(), tolerance: float = 1e-3, most_rounds: int = 20) -> tuple[np.ndarray, DataFrame]:
-    """LIN08, LIN09: the k largest eigenvalues of shift + factor (A - sum alpha U U^T) and their vectors (cell, u).
-
-    Block Krylov with restarts: a block of k + extra columns, started from hashes of the node ids, is multiplied `steps`
-    times; the Rayleigh-Ritz problem over all blocks gives pairs, and the best k + extra vectors start the next round.
-    It ends when every residual |M u - value u| is at most `tolerance` times the largest value, by which the values are
-    off at most that much; RuntimeError after most_rounds. A step costs one join with the edges and one small Gram matrix.
+def extreme_eigenpairs(edges: DataFrame, nodes: DataFrame, k: int, shift: float, factor: float, span: tuple[float, float] = (0.0, 2.0), steps: int = 8, extra: int = 8, low_rank=(), tolerance: float = 1e-3, most_rounds: int = 20) -> tuple[np.ndarray, DataFrame]:
+    """LIN08, LIN09: the k largest eigenvalues of M = shift + factor (A - sum alpha U U^T), whose spectrum lies in `span`,
+    and their vectors (cell, u).
+
+    Block Krylov with restarts: from an orthonormal block of k + extra columns, started from hashes of the node ids, the
+    Chebyshev polynomials of M times the block are made up to degree `steps`, each by one join with the edges; they stay
+    bounded, so that one Gram matrix at the end is enough for the Rayleigh-Ritz problem over all of them. The best
+    k + extra vectors start the next round. It ends when every residual |M u - value u| is at most `tolerance` times the
+    largest end of the span, by which the values are off at most that much; RuntimeError after most_rounds.
     """
-    width = k + extra
+    width, centre, half = k + extra, (span[0] + span[1]) / 2, (span[1] - span[0]) / 2
     start = nodes.select("cell", F.array(*[(F.pmod(F.xxhash64("cell", F.lit(j)), F.lit(2_000_003)) / 1_000_001.5 - 1) for j in range(width)]).alias("x"))
+    n, block = steps * width, np.eye(width)
+    # M' T_0 = T_1 and M' T_j = (T_{j+1} + T_{j-1}) / 2 for M' = (M - centre) / half
+    image = np.zeros((n + width, n))
+    for j in range(steps):
+        own = slice(j * width, (j + 1) * width)
+        image[(j + 1) * width : (j + 2) * width, own] = block / (2 if j else 1)
+        if j:
+            image[(j - 1) * width : j * width, own] = block / 2
     for _ in range(most_rounds):
-        blocks, images = [_orthonormal(start)], []
-        for step in range(steps):
-            images.append(materialised(product(edges, blocks[-1], shift, factor, low_rank, width)))
-            if step < steps - 1:
-                blocks.append(_orthonormal(images[-1]))
-        whole = blocks[0].select("cell", F.col("x").alias("q")).join(images[0].select("cell", F.col("x").alias("y")), "cell")
-        for q, y in zip(blocks[1:], images[1:], strict=True):
-            more = q.select("cell", F.col("x").alias("q1")).join(y.select("cell", F.col("x").alias("y1")), "cell")
-            whole = whole.join(more, "cell").select("cell", F.concat("q", "q1").alias("q"), F.concat("y", "y1").alias("y"))
-        both = materialised(whole.select("cell", F.concat("q", "y").alias("x")))
-        m = gram(both)
-        n = len(m) // 2
-        g, h, yy = m[:n, :n], m[:n, n:], m[n:, n:]
+        table, used = _orthonormal(start), []
+        for j in range(steps):
+            scale = (2.0 if j else 1.0) / half
+            last = table.select("cell", F.slice("x", j * width + 1, width).alias("x"))
+            moved = product(edges, last, (shift - centre) * scale, factor * scale, low_rank, width).withColumnRenamed("x", "y")
+            new = F.zip_with("y", F.slice("x", (j - 1) * width + 1, width), lambda p, q: p - q) if j else F.col("y")
+            used.append(table)
+            table = materialised(table.join(moved, "cell").select("cell", F.concat("x", new).alias("x")))
+        m = gram(table)
+        g, h, yy = m[:n, :n], m[:n] @ image, image.T @ m @ image
         lam, v = np.linalg.eigh(g)
         keep = lam > 1e-8 * lam.max()
         base = v[:, keep] / np.sqrt(lam[keep])
         value, vector = np.linalg.eigh(base.T @ ((h + h.T) / 2) @ base)
         order = np.argsort(-value)
         value, vector = value[order], base @ vector[:, order]
-        c = vector[:, :k]
-        residual = np.einsum("ij,ij->j", c, yy @ c) - 2 * value[:k] * np.einsum("ij,ij->j", c, h @ c) + value[:k] ** 2
-        if np.sqrt(np.maximum(residual, 0)).max() <= tolerance * max(abs(value[0]), 1e-300):
-            found = materialised(both.select("cell", times(F.slice("x", 1, n), c).alias("u")))
-            for used in (*blocks, *images, both):
-                released(used)
-            return value[:k], found
-        start = materialised(both.select("cell", times(F.slice("x", 1, n), vector[:, :width]).alias("x")))
-        for used in (*blocks, *images, both):
-            released(used)
-    raise RuntimeError(f"residuals up to {float(np.sqrt(max(residual.max(), 0))):.2g} after {most_rounds} rounds")
+        c, top = vector[:, :k], value[:k]
+        residual = np.einsum("ij,ij->j", c, yy @ c) - 2 * top * np.einsum("ij,ij->j", c, h @ c) + top**2
+        done = half * np.sqrt(np.maximum(residual, 0)).max() <= tolerance * max(map(abs, span))
+        best = projected(table.select("cell", F.slice("x", 1, n).alias("v")), c if done else vector[:, :width], np.zeros(n))
+        best = materialised(best.withColumnRenamed("x", "u") if done else best)
+        for gone in (*used, table):
+            released(gone)
+        if done:
+            return centre + half * top, best
+        start = best
+    raise RuntimeError(f"residuals up to {half * float(np.sqrt(max(residual.max(), 0))):.2g} after {most_rounds} rounds")
 
 
 def smallest_laplacian(edges: DataFrame, k: int, **options) -> tuple[np.ndarray, DataFrame]:
@@ -134,7 +141,7 @@ def smallest_laplacian(edges: DataFrame, k: int, **options) -> tuple[np.ndarray,
     """
     lap = materialised(laplacian(edges))
     nodes = lap.select(F.col("src").alias("cell")).distinct()
-    value, basis = extreme_eigenpairs(lap, nodes, k, 2.0, -1.0, **options)
+    value, basis = extreme_eigenpairs(lap, nodes, k, 2.0, -1.0, (0.0, 2.0), **options)
     return 2.0 - value, basis
 
 
@@ -152,7 +159,7 @@ def fused_basis(graphs: list[DataFrame], weights: list[float], alphas: list[floa
     total = materialised(total.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     nodes = total.select(F.col("src").alias("cell")).distinct()
     top = 2.0 * sum(weights)
-    value, basis = extreme_eigenpairs(total, nodes, k, top, -1.0, low_rank=list(zip(alphas, bases, strict=True)), **options)
+    value, basis = extreme_eigenpairs(total, nodes, k, top, -1.0, (0.0, top + sum(alphas)), low_rank=list(zip(alphas, bases, strict=True)), **options)
     return top - value, basis
 
 
