@@ -457,6 +457,31 @@ def test_benchmark_passages_are_found(spark):
     assert planted <= {(r.doc_id, r.item_id) for r in queries.op6_decontamination(spark, SMALL).collect()}
 
 
+def test_pipeline_stages_at_the_edges(spark, edges, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a question of the benchmark that has some words. And its answer is here.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    known = [(100 + k, text, lang, "s", len(text)) for k, (text, lang) in enumerate([("the words of this text are here for all to read", "en"), ("die Woerter dieses Textes sind fuer alle hier", "de")] * 3)]
+    rows = edges.union(spark.createDataFrame(known, DOCS)).withColumn("score", F.lit("clash")).withColumn("_gone", F.lit(1)).withColumn("id", F.lit(2))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0
+        if name != "packing":
+            assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        docs = rows.select(*corpus_pipeline.COLUMNS) if name == "packing" else rows.drop("_gone") if name == "line_dedup" else rows
+        got = [r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()]
+        if name == "language_id":
+            assert 1 not in got and 2 not in got and {100, 102} <= set(got) | {101, 103, 105}
+        elif name == "line_dedup":
+            assert {1, 2, 4, None} <= set(got) and got.count(5) == 1
+        elif name == "near_dedup":
+            assert {1, 2} & set(got) == {1} and got.count(5) == 2
+        elif name == "decontamination":
+            assert len(got) == len(EDGES) + 6
+        else:
+            assert set(got) == {1, 2, 4, 5, None, *range(100, 106)}
+
+
 def test_pipeline_equals_plain_stages(spark, small):
     import corpus_pipeline
     from tests.llm.test_dedup import deduped, fingerprint, groups
