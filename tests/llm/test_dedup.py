@@ -156,6 +156,30 @@ def deduped(rows):
     return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) in keep) for k, (i, t) in enumerate(rows)}
 
 
+def deduped_by_edits(rows, least=0.8):
+    """Plain version of dedup_lines with grams for rows (id, text) with distinct ids: every line with a word exactly, lines
+    of 16 characters by edit similarity to any other."""
+    rows = sorted(rows)
+    lines = [(k, n, " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), line).split())) for k, (_, t) in enumerate(rows) for n, line in enumerate(t.split("\n"))]
+    first = {}
+    for k, n, line in lines:
+        if line:
+            first.setdefault(line, (k, n))
+    distinct = list(first)
+    counts = np.array([np.bincount(np.frombuffer(x.encode("utf-16-le"), np.uint16) % 64, minlength=64) for x in distinct])
+    sizes = np.array([len(x) for x in distinct])
+    linked = set()
+    for i in range(len(distinct)):
+        j = np.arange(i)
+        most = (1 - least) * np.maximum(sizes[j], sizes[i])
+        far = np.maximum(np.maximum(counts[j] - counts[i], 0).sum(1), np.maximum(counts[i] - counts[j], 0).sum(1))  # a lower bound
+        near = j[(far <= most) & (np.minimum(sizes[j], sizes[i]) >= 16)]
+        linked |= {(i, k) for k in near.tolist() if line_dedup.similar(distinct[i], distinct[k], least, 0.2)}
+    root = groups(len(distinct), lambda i, j: (i, j) in linked)
+    keep = {first[distinct[r]] for r in root} | {(k, n) for k, n, x in lines if not x}
+    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) in keep) for k, (i, t) in enumerate(rows)}
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(8)
     lines = corpus(6, 60, 8) + ["", "short one", "All Rights  Reserved by the owner", "all rights reserved by the owner"]
