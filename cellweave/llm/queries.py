@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat_format, decontaminate, labels, language_id, license_scan, line_dedup, packing, quality_rank, quality_rules, simhash_dedup, toxicity
+from cellweave.llm import chat_format, decontaminate, divergence, labels, language_id, license_scan, line_dedup, packing, quality_rank, quality_rules, simhash_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 
@@ -137,6 +142,20 @@ out AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transfo
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 0.3::DOUBLE * n_words AS kept FROM out"""
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_OP11 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_LOWER}) AS text FROM documents),
+found AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n, count(DISTINCT doc) AS docs FROM found GROUP BY 1, 2, 3),
+terms AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY 1, 2 HAVING sum(docs) >= 30),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM terms GROUP BY 1),
+pairs_of AS (SELECT DISTINCT lang, source FROM docs),
+grid AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0::HUGEINT) AS n, t.n AS n_lang FROM pairs_of g JOIN terms t ON t.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+shares AS (SELECT grid.lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY grid.lang, source) + 5 * v)::HUGEINT)::BIGINT AS p, (1 + 1000000000::HUGEINT * (n_lang + 5) // (total + 5 * v))::BIGINT AS q FROM grid JOIN langs ON langs.lang = grid.lang),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value FROM pairs_of a JOIN pairs_of b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 3),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_parts) WHERE part = 'pair' OR rank <= 50"""
+
 #: The others need tokens, SimHash groups, trained models or BM25 passages, which SQL does not have; tests hold them
 #: against plain Python, exact round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": _OP7, "op9_license_scan": _OP9, "op10_quality_rules": _OP10}
+ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": _OP7, "op9_license_scan": _OP9, "op10_quality_rules": _OP10, "op11_source_divergence": _OP11}
