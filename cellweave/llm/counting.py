@@ -15,7 +15,7 @@ from cellweave.llm import kernels as K
 HASHED = "h long, n long"
 #: A second set of byte hashes, so that equal spans are told by 128 bits within a slice.
 OTHER_MIX = K.mix(K.BYTE_MIX + np.uint64(1)) | np.uint64(1)
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,7 +29,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Tally:
     """Sums of counts by key within a task. At most about `most` keys are held; beyond that, partial sums go out."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 19):
         self.most, self.parts, self.size = most, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
