@@ -426,7 +426,7 @@ def test_decontamination_equals_brute_force(spark, edges, empty):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     want = bm25_matches(items, docs)
     got = matches(decontaminate.find(frame, bench, keep=["doc_id"]))
-    assert got.keys() == want.keys() and len(want) >= 80 and (500, 7) in got and (501, 3) in got
+    assert got.keys() == want.keys() and len(want) >= 60 and (500, 7) in got and (501, 3) in got
     assert all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
     assert all(d % 3 == 0 for d, _ in got if d < 500)
     for options in ({"most_words": 600}, {"block": 1}, {"block": 7}, {"block": 1000}):  # how items are dealt changes nothing
