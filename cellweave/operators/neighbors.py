@@ -1,4 +1,4 @@
-"""Neighbour joins: radius joins by grid bins, exact nearest neighbours by blocks."""
+"""Neighbour joins: radius joins by grid bins, exact nearest neighbours against a small table or by blocks."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.functions.numeric import euclidean
+from cellweave.sources.shared import materialised
 
 
 def radius_join(points: DataFrame, radius: float, keep_coincident: bool = False) -> DataFrame:
@@ -45,57 +46,160 @@ def _binned(a: DataFrame, b: DataFrame, radius: float, keep_coincident: bool) ->
     return out if keep_coincident else out.where("distance > 0")
 
 
-def nearest(points: DataFrame, queries: DataFrame | None = None, k: int = 10, block_rows: int = 4096) -> DataFrame:
-    """JON09, JON12: (src, dst, distance, rank) of the exact k nearest points (cell, v) of each query, by (distance, id).
+#: Points of up to so many bytes go to all tasks as they are; beyond it they are dealt into blocks.
+BROADCAST_BYTES = 32 << 20
+MOST_CENTRES = 4096
+_FOUND = "src long, dst long, distance double"
 
-    Queries and points are dealt into blocks of about block_rows by a hash of the id, and each pair of blocks is one
-    task's matrix product that keeps the k best; the partial lists, k per query and block, are then merged. Without
-    `queries` all points ask, and a point is not its own neighbour. With a column grp in `points` (and `queries`), only
-    points of one group are neighbours, and only blocks of one group meet.
-    """
-    same = queries is None
-    asked = points if same else queries
-    if "grp" in points.columns:
-        blocks = F.col("blocks")
-        sizes = points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("blocks"))
-        points, asked, group = points.join(sizes, "grp"), asked.join(sizes, "grp"), ["grp"]
-    else:
-        blocks, group = F.lit(max(1, -(-points.count() // block_rows))).cast("long"), []
-    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    deal = lambda c: F.pmod(F.xxhash64(c), blocks)
-    target = points.select("cell", "v", *group, deal("cell").alias("block"), every.alias("every"))
-    copies = asked.select("cell", "v", *group, deal("cell").alias("qblock"), F.explode(every).alias("block"))
-    spread = target.select(*[F.col(c).alias(c) for c in ("cell", "v", *group)], F.explode("every").alias("qblock"), "block")
-
-    def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "distance": []})
-        b = b.sort_values("cell")
-        x, y = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
-        ids, own = b.cell.to_numpy(), a.cell.to_numpy()
-        rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+
+def _closest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the k nearest y of each x by (distance, id), in that order; same: not the own id."""
+    out = []
+    yy = (y * y).sum(1)
+    step = max(1, (1 << 22) // max(1, len(ids)))  # some 32 MB of distances at a time
+    for lo in range(0, len(own) if len(ids) else 0, step):
+        part, me = x[lo : lo + step], own[lo : lo + step]
+        rough = (part * part).sum(1)[:, None] + yy[None] - 2 * part @ y.T
         if same:
-            rough[own[:, None] == ids[None]] = np.inf
+            rough[me[:, None] == ids[None]] = np.inf
         # every point that rounding of the matrix product may have put behind the k-th, and every one tied with it
         cut = np.partition(rough, min(len(ids), k) - 1, axis=1)[:, min(len(ids), k) - 1]
-        slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * ((x * x).sum(1) + (y * y).sum(1).max())
+        slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * ((part * part).sum(1) + yy.max())
         near = (rough <= np.where(np.isnan(cut), np.inf, cut + slack)[:, None]) & np.isfinite(rough)
-        ends, out, row = np.cumsum(near.sum(1)), [], 0
-        while row < len(own):  # about 65,536 pairs at a time, however many are tied
+        ends, row = np.cumsum(near.sum(1)), 0
+        while row < len(me):  # about 65,536 pairs at a time, however many are tied
             stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + 65_536, "right")))
             i, j = np.nonzero(near[row:stop])
             i += row
-            exact = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+            exact = np.sqrt(((part[i] - y[j]) ** 2).sum(1))
             order = np.lexsort((ids[j], exact, i))
             i, j, exact = i[order], j[order], exact[order]
             first = np.arange(len(i)) - np.searchsorted(i, i) < k
-            out.append(pd.DataFrame({"src": own[i[first]], "dst": ids[j[first]], "distance": exact[first]}))
+            out.append((i[first] + lo, j[first], exact[first]))
             row = stop
-        return pd.concat(out, ignore_index=True)
+    if not out:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    partial = copies.groupBy(*group, "qblock", "block").cogroup(spread.groupBy(*group, "qblock", "block")).applyInPandas(best, "src long, dst long, distance double")
-    ranked = partial.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("distance", "dst")))
-    return ranked.where(F.col("rank") <= k)
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))).where(F.col("rank") <= k)
+
+
+def nearest(points: DataFrame, queries: DataFrame | None = None, k: int = 10, block_rows: int = 4096, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """JON09, JON12: (src, dst, distance, rank) of the exact k nearest points (cell, v) of each query, by (distance, id).
+
+    Without `queries` all points ask, and a point is not its own neighbour. With a column grp in `points` (and `queries`), only
+    points of one group are neighbours. Points of up to broadcast_bytes, which is counted first, go to every task, and the
+    queries are not joined or sorted at all. More points are dealt into blocks around centres; each query asks its nearest
+    centre's block, and then those other blocks that the triangle inequality does not rule out by the k-th distance so far.
+    Blocks, and the queries that come to one, are dealt into tiles of bounded size. With grp, blocks are dealt by a hash and
+    all blocks of a group meet.
+    """
+    group = ["grp"] if "grp" in points.columns else []
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    if size["n"] * (size["width"] or 0) * 8 <= broadcast_bytes:
+        return _nearest_to_all(points, queries, k, group)
+    if group:
+        return _nearest_in_groups(points, queries, k, block_rows)
+    return _nearest_in_blocks(points, queries, k, block_rows, size["n"])
+
+
+def _nearest_to_all(points: DataFrame, queries: DataFrame | None, k: int, group: list[str]) -> DataFrame:
+    rows = points.select("cell", "v", *group).toPandas().sort_values("cell")
+    y = np.stack(rows["v"].to_numpy()).astype(float) if len(rows) else np.empty((0, 1))
+    given = points.sparkSession.sparkContext.broadcast((rows["cell"].to_numpy(), y, rows["grp"].to_numpy() if group else None))
+    asked, same = points if queries is None else queries, queries is None
+    tasks = max(1, min(points.sparkSession.sparkContext.defaultParallelism * 4, -(-len(rows) // 128)))
+
+    def run(batches):
+        ids, y, of = given.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, x = batch["cell"].to_numpy(), np.stack(batch["v"].to_numpy()).astype(float)
+            parts = [(np.arange(len(own)), np.arange(len(ids)))] if of is None else [(np.flatnonzero(batch["grp"].to_numpy() == g), np.flatnonzero(of == g)) for g in batch["grp"].unique()]
+            for at, to in parts:
+                i, j, exact = _closest(x[at], own[at], y[to], ids[to], k, same)
+                yield pd.DataFrame({"src": own[at][i], "dst": ids[to][j], "distance": exact, "rank": np.arange(len(i)) - np.searchsorted(i, i) + 1})
+
+    return asked.select("cell", "v", *group).repartition(tasks, "cell").mapInPandas(run, f"{_FOUND}, rank int")
+
+
+def _best(k: int, same: bool):
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": [], "dst": [], "distance": []})
+        own, ids = a["cell"].to_numpy(), b["cell"].to_numpy()
+        i, j, exact = _closest(np.stack(a["v"].to_numpy()), own, np.stack(b["v"].to_numpy()), ids, k, same)
+        return pd.DataFrame({"src": own[i], "dst": ids[j], "distance": exact})
+
+    return best
+
+
+def _nearest_in_groups(points: DataFrame, queries: DataFrame | None, k: int, block_rows: int) -> DataFrame:
+    asked, same = points if queries is None else queries, queries is None
+    sizes = points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("blocks"))
+    every, deal = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.pmod(F.xxhash64("cell"), F.col("blocks"))
+    target = points.join(sizes, "grp").select("cell", "v", "grp", F.explode(every).alias("qblock"), deal.alias("block"))
+    copies = asked.join(sizes, "grp").select(*[F.col(c).alias(c) for c in ("cell", "v", "grp")], deal.alias("qblock"), F.explode(every).alias("block"))
+    key = ("grp", "qblock", "block")
+    return _ranked(copies.groupBy(*key).cogroup(target.groupBy(*key)).applyInPandas(lambda a, b: _best(k, same)(a, b), _FOUND), k)
+
+
+def _nearest_in_blocks(points: DataFrame, queries: DataFrame | None, k: int, block_rows: int, n: int) -> DataFrame:
+    asked, same = points if queries is None else queries, queries is None
+    wanted = min(MOST_CENTRES, -(-n // block_rows))
+    some = points.where(F.pmod(F.xxhash64("cell"), F.lit(1 << 30)) <= (1 << 30) * min(1.0, 4 * wanted / n)).orderBy(F.xxhash64("cell", F.lit(1))).limit(wanted)
+    centres = np.array([r["v"] for r in some.select("v").collect()])  # at most MOST_CENTRES
+    given = points.sparkSession.sparkContext.broadcast(centres)
+
+    def gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0))
+
+    def placed(batches):
+        for batch in batches:
+            if len(batch):
+                d = gaps(np.stack(batch["v"].to_numpy()), given.value)
+                yield batch.assign(block=d.argmin(1), gap=d.min(1))
+
+    own = materialised(points.select("cell", "v").mapInPandas(placed, "cell long, v array<double>, block long, gap double"))
+    stats = own.groupBy("block").agg(F.max("gap").alias("radius"), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("tiles"))
+    radius = np.full(len(centres), -np.inf)  # of a block without points
+    for r in stats.collect():  # at most MOST_CENTRES
+        radius[r["block"]] = r["radius"]
+    reach = points.sparkSession.sparkContext.broadcast(radius)
+
+    def at_home(batches):
+        for batch in batches:
+            if len(batch):
+                d = np.where(np.isfinite(reach.value), gaps(np.stack(batch["v"].to_numpy()), given.value), np.inf)
+                yield batch.assign(block=d.argmin(1))
+
+    def elsewhere(batches):
+        for batch in batches:
+            if len(batch):
+                d = gaps(np.stack(batch["v"].to_numpy()), given.value)
+                far = np.isfinite(reach.value) & (d - reach.value[None] <= batch["kth"].fillna(np.inf).to_numpy()[:, None] * (1 + 1e-9) + 1e-9 * (1 + d))
+                far[np.arange(len(batch)), np.where(np.isfinite(reach.value), d, np.inf).argmin(1)] = False
+                i, j = np.nonzero(far)
+                yield batch.iloc[i][["cell", "v"]].assign(block=j)
+
+    def asking(visits: DataFrame) -> DataFrame:
+        visits = materialised(visits)
+        shares = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * block_rows)).cast("int").alias("shares")).join(stats.select("block", "tiles"), "block")
+        all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        deal = lambda c: F.pmod(F.xxhash64("cell"), F.col(c)).cast("int")
+        target = own.join(shares, "block").select("cell", "v", "block", deal("tiles").alias("tile"), all_of("shares").alias("share"))
+        copies = visits.join(shares, "block").select(*[F.col(c).alias(c) for c in ("cell", "v", "block")], deal("shares").alias("share"), all_of("tiles").alias("tile"))
+        key = ("block", "tile", "share")
+        found = copies.groupBy(*key).cogroup(target.select(*[F.col(c).alias(c) for c in target.columns]).groupBy(*key))
+        return materialised(_ranked(found.applyInPandas(lambda a, b: _best(k, same)(a, b), _FOUND), k).drop("rank"))
+
+    first = asking(asked.select("cell", "v").mapInPandas(at_home, "cell long, v array<double>, block long"))
+    kth = first.groupBy("src").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+    again = asked.select("cell", "v").join(kth.select(F.col("src").alias("cell"), "kth"), "cell", "left")
+    return _ranked(first.union(asking(again.mapInPandas(elsewhere, "cell long, v array<double>, block long"))), k)
 
 
 def capped(edges: DataFrame, k: int) -> DataFrame:
