@@ -117,12 +117,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id"""
 
 _RULES = ", ".join(f"({k}, {_sql(name)}, {_sql(kind)}, {_sql('>' + '>'.join(need) + '>')})" for k, (name, kind, need) in enumerate(license_scan.RULES, 1))
+_STEPPED = "lower(text)"
+for _pattern, _to in license_scan.STEPS:
+    _STEPPED = f"regexp_replace({_STEPPED}, {_sql(_pattern)}, {_sql(_to)}, 'g')"
 _OP9 = rf"""
 WITH known(sentence, ident) AS (VALUES {", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in license_scan.SENTENCES.items())}),
 rules(rule, license, license_class, need) AS (VALUES {_RULES}),
 docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
-sentences AS (SELECT n, unnest(p) AS sentence, generate_subscripts(p, 1) AS pos FROM (SELECT n, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '{license_scan.TAG}', 'identifier ', 'g'),
-  '{license_scan.SENTENCE_END}', '|', 'g'), '{license_scan.LINE_END}', '~', 'g'), '[^a-z0-9|~]+', ' ', 'g'), '|') AS p FROM docs)),
+sentences AS (SELECT n, unnest(p) AS sentence, generate_subscripts(p, 1) AS pos FROM (SELECT n, string_split({_STEPPED}, '|') AS p FROM docs)),
 split AS (SELECT n, pos, list_transform(string_split(sentence, '~'), lambda x: trim(x)) AS l FROM sentences),
 parts AS (SELECT n, pos, generate_subscripts(l, 1) AS i, unnest(l) AS line, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], ' '))) AS tail FROM split),
 read AS (SELECT n, pos, i, a.ident AS tail_ident, b.ident AS line_ident, coalesce(min(CASE WHEN a.ident IS NOT NULL THEN i END) OVER (PARTITION BY n, pos), 1000000000) AS first

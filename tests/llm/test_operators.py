@@ -515,3 +515,35 @@ def test_pipeline_equals_plain_stages(spark, small):
     path, tok = tokenizer()
     n = check_pieces(sorted(got.items()), pieces, tok, 2048)
     assert n == len({p.sequence_id for p in pieces})
+
+
+def test_licences_in_their_usual_forms(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of {} nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+    gpl = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; {}"""
+    later = "either version 2\nof the License, or (at your option) any later version."
+    texts = [
+        (bsd.format("the University"), "BSD-3-Clause"), (bsd.format("Example Inc."), "BSD-3-Clause"), (bsd.format("the\n   copyright holder"), "BSD-3-Clause"), (bsd.split("3. ")[0], "BSD-2-Clause"),
+        (gpl.format(later), "GPL-2.0"), (gpl.format("version 2 of the License."), "GPL-2.0"), (gpl.format(later).replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2\n", "version 2.1\n"), "LGPL-2.1"),
+        ("Available under the Mozilla Public License, v. 1.1.", "MPL-1.1"), ("Licensed under the Eclipse Public License v. 1.0.", "EPL-1.0"), ("Licensed under the Eclipse Public License v. 2.0", "EPL-2.0"),
+        ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v. 2.0 which is available at\nhttp://www.eclipse.org", "EPL-2.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL-2.0"),
+        ("This project is licensed under the MIT License - see the LICENSE file for details", "MIT"), ("Licensed under the MIT License — see LICENSE", "MIT"), ("Licensed under GPLv3", "GPL-3.0"), ("released under the GPL v2.", "GPL-2.0"),
+        ("// SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("the vs. 2 of them, or and so on", "none"),
+    ]
+    rows = [(k, t) for k, (t, _) in enumerate(texts)]
+    rows += [(100, "SPDX-License-Identifier: MIT OR Apache-2.0"), (101, "# SPDX-License-Identifier: (BSD-3-Clause OR GPL-2.0-only) AND ISC\nnext line or other"), (102, "one long sentence of\n" + "many\n" * 40_000 + "mit license")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(k, got[k].license) for k in range(len(texts))] == [(k, want) for k, (_, want) in enumerate(texts)]
+    assert got[100].sentence_ids == "MIT_SPDX>Apache-2.0_SPDX" and got[101].sentence_ids == "BSD-3-Clause_SPDX>GPL-2.0_SPDX>ISC_SPDX"
+    assert got[101].license == "GPL-2.0" and got[102].license == "none"
