@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellweave.operators.ranks import quantiles
+from cellweave.operators.ranks import quantiles, running_by
 
 
 def library_sizes(expr: DataFrame) -> DataFrame:
@@ -49,15 +49,17 @@ def gene_quantile(expr: DataFrame, q: float, out: str) -> DataFrame:
     """GRF17: the linear q-quantile of each gene over all cells, absent rows being zeros (values are not negative).
 
     Zeros sort first, so the position of the quantile among all cells is one among the rows that exist after a shift by
-    the number of zeros; two rows per gene decide, and nothing is densified.
+    the number of zeros; two values per gene decide, and nothing is densified. Equal values are counted first, and a gene's
+    values are placed by ranges.
     """
     n = expr.select("cell").distinct().agg(F.count(F.lit(1)).alias("n"))
-    ranked = expr.where("value > 0").withColumn("k", F.row_number().over(W.partitionBy("gene").orderBy(F.desc("value"))))
+    counts = expr.where("value > 0").groupBy("gene", "value").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_by(counts, "gene", "c", F.desc("value"), name="upto")  # so many cells have this value or more
     at = (F.col("n") - 1) * q
-    place = F.col("n") - F.col("k")  # zero-based place in rising order
     low, high = F.floor(at), F.ceil(at)
+    within = lambda place: (F.col("n") - F.col("upto") <= place) & (place < F.col("n") - F.col("upto") + F.col("c"))
     picked = ranked.join(F.broadcast(n)).groupBy("gene").agg(
-        F.max(at).alias("at"), F.coalesce(F.max(F.when(place == low, F.col("value"))), F.lit(0.0)).alias("low"), F.coalesce(F.max(F.when(place == high, F.col("value"))), F.lit(0.0)).alias("high")
+        F.max(at).alias("at"), F.coalesce(F.max(F.when(within(low), F.col("value"))), F.lit(0.0)).alias("low"), F.coalesce(F.max(F.when(within(high), F.col("value"))), F.lit(0.0)).alias("high")
     )
     found = picked.select("gene", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias(out))
     return expr.select("gene").distinct().join(found, "gene", "left").fillna(0.0, [out])

@@ -143,14 +143,18 @@ def attention_summary(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.lit(1.0), F.sum(F.col("weight") * F.col("weight"))).alias("effective"), F.max("weight").alias("largest"))
 
 
-def shared_neighbours(edges: DataFrame, least: float) -> DataFrame:
+def shared_neighbours(edges: DataFrame, least: float, most: int = 2000) -> DataFrame:
     """GRF03: Jaccard index of the neighbour lists (src, dst) of pairs that share one, at least `least`.
 
-    Pairs meet over a common neighbour; a neighbour of very many lists makes many pairs, which a directed kNN graph
-    bounds by its in-degree.
+    Pairs meet over a common neighbour; one that is in over `most` lists makes many pairs, which are dealt in tiles: each pair
+    of tiles of its lists meets by itself.
     """
     n = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    a, b = (edges.select(F.col("src").alias(x), F.col("dst").alias("common")) for x in "ab")
-    both = a.join(b, "common").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("inter"))
+    tiles = edges.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("tiles"))
+    dealt = edges.select("src", "dst").join(tiles, "dst").withColumn("tile", F.pmod(F.xxhash64("src"), F.col("tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    a = dealt.select(F.col("src").alias("a"), F.col("dst").alias("common"), F.col("tile").alias("t1"), every.alias("t2"))
+    b = dealt.select(F.col("src").alias("b"), F.col("dst").alias("common"), every.alias("t1"), F.col("tile").alias("t2"))
+    both = a.join(b, ["common", "t1", "t2"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("inter"))
     sized = both.join(n.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
     return sized.select("a", "b", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard")).where(F.col("jaccard") >= least)

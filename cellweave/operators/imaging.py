@@ -195,8 +195,28 @@ def shifted(slices: DataFrame, by: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, slices.schema)
 
 
-def projection(slices: DataFrame) -> DataFrame:
-    """AGG35: maximum over z of each volume: (fov, round, channel, height, width, data)."""
-    long = slices.select("fov", "round", "channel", "height", "width", F.posexplode("data").alias("p", "v"))
-    best = long.groupBy("fov", "round", "channel", "height", "width", "p").agg(F.max("v").alias("v"))
-    return best.groupBy("fov", "round", "channel", "height", "width").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s.v).alias("data"))
+def projection(slices: DataFrame, held: int = 64) -> DataFrame:
+    """AGG35: maximum over z of each volume: (fov, round, channel, height, width, data).
+
+    Slices are reduced as arrays in each task, which holds at most `held` volumes, and once more where a volume's parts meet."""
+    keys = ["fov", "round", "channel", "height", "width"]
+    rows = slices.select(*keys, "data")
+
+    def frame(best: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*k, v) for k, v in best.items()], columns=[*keys, "data"])
+
+    def reduced(batches):
+        best: dict = {}
+        for batch in batches:
+            for *key, data in batch.itertuples(index=False):
+                key, data = tuple(key), np.asarray(data)
+                best[key] = np.maximum(best[key], data) if key in best else data
+                if len(best) > held:
+                    yield frame(best)
+                    best = {}
+        yield frame(best)
+
+    def met(parts: pd.DataFrame) -> pd.DataFrame:
+        return parts.iloc[:1].assign(data=[np.maximum.reduce(np.stack(parts["data"].to_numpy()))])
+
+    return rows.mapInPandas(reduced, rows.schema).groupBy(*keys).applyInPandas(met, rows.schema)

@@ -56,3 +56,14 @@ def quantiles(rows: DataFrame, column: str, shares: list[float], out: str = "q")
 def average_ranks(rows: DataFrame, column: str, out: str = "rank") -> DataFrame:
     """(column, out): each value and its rank among all rows, the mean of its places where it stands several times."""
     return _value_counts(rows, column).select(F.col("v").alias(column), (F.col("upto") - (F.col("c") - 1) / 2).alias(out))
+
+
+def running_by(rows: DataFrame, key: str, value: str, *order: Column | str, name: str = "running") -> DataFrame:
+    """As running(), within each key: the sum of `value` up to and with each row in the key's order. A key of many rows is
+    dealt into ranges like any other; only its ranges' sums, one row each, meet in one task."""
+    made = materialised(rows.repartitionByRange(key, *order).select("*", F.spark_partition_id().alias("_part")))
+    sums = made.groupBy(key, "_part").agg(F.sum(value).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    joined = made.join(sums.select(key, "_part", before.alias("_before")), [key, "_part"])
+    upto = F.sum(value).over(W.partitionBy(key, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return joined.withColumn(name, F.col("_before") + upto).drop("_part", "_before")

@@ -104,14 +104,19 @@ def extreme_eigenpairs(edges: DataFrame, nodes: DataFrame, k: int, shift: float,
         if j:
             image[(j - 1) * width : j * width, own] = block / 2
     for _ in range(most_rounds):
-        table, used = _orthonormal(start), []
+        tables = [_orthonormal(start)]
         for j in range(steps):
             scale = (2.0 if j else 1.0) / half
-            last = table.select("cell", F.slice("x", j * width + 1, width).alias("x"))
-            moved = product(edges, last, (shift - centre) * scale, factor * scale, low_rank, width).withColumnRenamed("x", "y")
-            new = F.zip_with("y", F.slice("x", (j - 1) * width + 1, width), lambda p, q: p - q) if j else F.col("y")
-            used.append(table)
-            table = materialised(table.join(moved, "cell").select("cell", F.concat("x", new).alias("x")))
+            moved = product(edges, tables[-1], (shift - centre) * scale, factor * scale, low_rank, width)
+            if j:
+                moved = moved.withColumnRenamed("x", "y").join(tables[-2], "cell").select("cell", F.zip_with("y", "x", lambda p, q: p - q).alias("x"))
+            tables.append(materialised(moved))
+        # every polynomial is written once, and all are joined once
+        joined = tables[0].select("cell", F.col("x").alias("x0"))
+        for j, t in enumerate(tables[1:], 1):
+            joined = joined.join(t.select("cell", F.col("x").alias(f"x{j}")), "cell")
+        table = materialised(joined.select("cell", F.concat(*[f"x{j}" for j in range(steps + 1)]).alias("x")))
+        used = tables
         m = gram(table)
         g, h, yy = m[:n, :n], m[:n] @ image, image.T @ m @ image
         lam, v = np.linalg.eigh(g)

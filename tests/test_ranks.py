@@ -78,3 +78,21 @@ def test_joins_by_position(spark):
     assert alignment.joined_by_position(a, a.select("x", "y"), ["x", "y"]).count() == 2
     with pytest.raises(ValueError):
         alignment.joined_by_position(a, a.limit(1).select("x", "y"), ["x", "y"])
+
+
+def test_running_sums_within_keys(spark):
+    from cellweave.operators.ranks import running_by
+
+    rows = [(k % 3 if k < 200 else 0, k * 7 % 101, 1 + k % 4) for k in range(300)]
+    frame = spark.createDataFrame([(g, o * 1000 + i, n) for i, (g, o, n) in enumerate(rows)], "g long, o long, n long")
+    got = {(r.g, r.o): r.running for r in running_by(frame, "g", "n", F.desc("o")).collect()}
+    plain = [(g, o * 1000 + i, n) for i, (g, o, n) in enumerate(rows)]
+    assert got == {(g, o): sum(n2 for g2, o2, n2 in plain if g2 == g and o2 >= o) for g, o, _ in plain}
+
+
+def test_lists_of_common_neighbours_in_tiles(spark):
+    from cellweave.operators.graph import shared_neighbours
+
+    edges = spark.createDataFrame([(a, b) for a in range(40) for b in ({99} | {100 + a % 5, 200 + a % 7})], "src long, dst long")
+    want = sorted(map(tuple, shared_neighbours(edges, 0.3).collect()))
+    assert sorted(map(tuple, shared_neighbours(edges, 0.3, most=6).collect())) == want and len(want) > 100
