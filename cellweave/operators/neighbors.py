@@ -212,3 +212,36 @@ def nearest_by_vectors(edges: DataFrame, points: DataFrame) -> DataFrame:
     """JON21, ARR06: edges with the exact distance of their end points' vectors."""
     ends = [points.select(F.col("cell").alias(c), F.col("v").alias(f"v_{c}")) for c in ("src", "dst")]
     return edges.join(ends[0], "src").join(ends[1], "dst").withColumn("distance", euclidean(F.col("v_src"), F.col("v_dst"))).drop("v_src", "v_dst")
+
+
+def adaptive_parameters(
+    cells: DataFrame, distances: DataFrame, least_cells: int = 50, least_samples: int = 1, penalty: tuple[float, float] = (1.2, 3.8),
+    candidates: tuple[int, int] = (20, 60), attention: tuple[int, int] = (10, 30),
+) -> DataFrame:
+    """GRF11: (type, samples, cells, ratio, scattered, penalty, candidate_k, attention_k) of each type by how clumped it lies.
+
+    cells: (cell, sample, type); distances: (cell, all_kth, same_kth), each cell's distance to its kth neighbour among all
+    cells of its sample and among those of its type there, null where there are not so many. A sample's ratio for a type
+    is the median of same_kth over the median of all_kth; a type of fewer than least_cells there, or of a null kth, is
+    left out. Over samples the median weighted by cells counts; log(1 + ratio) is held between its 5 and 95 per cent
+    quantiles over types and scaled to 0..1 (0.5 if all are alike), on which the parameters lie, the penalty falling.
+    """
+    rows = cells.join(distances, "cell")
+    whole = rows.groupBy("sample").agg(F.median("all_kth").alias("all_median"))
+    each = rows.groupBy("sample", "type").agg(F.count(F.lit(1)).alias("n"), F.median("same_kth").alias("same_median")).where((F.col("n") >= least_cells) & F.col("same_median").isNotNull())
+    ratios = each.join(whole, "sample").where("all_median > 0").select("type", "sample", "n", (F.col("same_median") / F.col("all_median")).alias("ratio"))
+    order = W.partitionBy("type").orderBy("ratio", "sample")  # one row a sample
+    placed = ratios.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(W.partitionBy("type")))
+    half = F.min(F.when(F.col("upto") >= F.col("all") / 2, F.struct("upto", "ratio")))["ratio"]
+    types = placed.groupBy("type").agg(F.count(F.lit(1)).alias("samples"), F.sum("n").alias("cells"), half.alias("ratio")).where(F.col("samples") >= least_samples)
+    types = types.withColumn("log", F.log1p("ratio"))
+    q = types.agg(F.percentile("log", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))  # one row a type
+    score = F.when(F.col("hi") - F.col("lo") <= 1.5e-8 * F.col("lo"), 0.5).otherwise((F.least(F.greatest("log", "lo"), "hi") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    types = types.join(F.broadcast(q)).withColumn("scattered", score)
+    again = types.agg(F.percentile("scattered", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
+    types = types.join(F.broadcast(again)).withColumn("s", F.when(F.col("b") - F.col("a") <= 1.5e-8, 0.5).otherwise((F.least(F.greatest("scattered", "a"), "b") - F.col("a")) / (F.col("b") - F.col("a"))))
+    between = lambda ends, s: ends[0] + s * (ends[1] - ends[0])
+    return types.select(
+        "type", "samples", "cells", "ratio", "scattered", between(penalty, 1 - F.col("s")).alias("penalty"),
+        F.bround(between(candidates, F.col("s"))).cast("int").alias("candidate_k"), F.bround(between(attention, F.col("s"))).cast("int").alias("attention_k"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import cells as C
 from cellweave.operators import ranks
 from cellweave.operators import decode as D
+from cellweave.operators import volumes as V
 from cellweave.plans.registry import query
 from cellweave.sources import bindings as B
 
@@ -108,13 +109,16 @@ def voxels(spark, sf_dir):
     return rows.agg(F.sum(F.abs("c_acctbal")).alias("value"))
 
 
+def volume(spark, sf_dir):
+    """The same as one volume of one slice."""
+    return voxels(spark, sf_dir).select(F.lit(0).alias("fov"), F.lit(0).alias("z"), "y", "x", "value")
+
+
 @query(f"WITH {_VOXELS}, s AS (SELECT s_suppkey AS spot, s_suppkey * 7 % 40 AS sx, s_suppkey * 3 % 40 AS sy FROM supplier) SELECT spot, round(coalesce(sum(value), 0), 4) AS total, count(value) AS inside FROM s LEFT JOIN vox ON abs(x - sx) <= 1 AND abs(y - sy) <= 1 GROUP BY spot")
 def box_sums(spark, sf_dir):
     """ARR05, JON14: sums over a box around each spot; voxels outside count as 0."""
-    spots = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spot"), (F.col("s_suppkey") * 7 % 40).alias("sx"), (F.col("s_suppkey") * 3 % 40).alias("sy"))
-    box = F.explode(F.array(*[F.struct((F.col("sx") + i).alias("x"), (F.col("sy") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    wanted = spots.select("spot", box.alias("b")).select("spot", "b.*")
-    return wanted.join(voxels(spark, sf_dir), ["x", "y"], "left").groupBy("spot").agg(F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"), F.count("value").alias("inside"))
+    spots = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spot"), F.lit(0).alias("fov"), F.lit(0).alias("z"), (F.col("s_suppkey") * 3 % 40).alias("y"), (F.col("s_suppkey") * 7 % 40).alias("x"))
+    return V.box_sums(spots, volume(spark, sf_dir)).select("spot", r("total", 4), "inside")
 
 
 @query(f"WITH {_VOXELS}, q AS (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi, min(value) AS a, max(value) AS b FROM vox) SELECT x, y, round(least(greatest(value, lo), hi), 4) AS clipped, round((value - a) / (b - a), 6) AS scaled, round(pow(greatest(value, 0) / b, 0.5::DOUBLE), 6) AS gamma FROM vox, q")
@@ -138,28 +142,45 @@ def regional_maxima(spark, sf_dir):
 @query(f"WITH {_VOXELS}, t AS (SELECT x // 10 AS tx, y // 10 AS ty, sum(value) AS s FROM vox GROUP BY 1, 2) SELECT tx, ty, round(s, 4) AS total FROM t QUALIFY row_number() OVER (ORDER BY round(s, 4) DESC, tx, ty) = 1")
 def brightest_tile(spark, sf_dir):
     """IMG19: the tile with the largest sum."""
-    t = voxels(spark, sf_dir).groupBy(F.floor(F.col("x") / 10).alias("tx"), F.floor(F.col("y") / 10).alias("ty")).agg(F.round(F.sum("value"), 4).alias("total"))
-    return t.orderBy(F.desc("total"), "tx", "ty").limit(1)
+    return V.brightest_tile(volume(spark, sf_dir), 10).select("tx", "ty", r("total", 4))
 
 
 @query(f"WITH {_VOXELS}, m AS (SELECT x, y, value FROM vox UNION ALL SELECT x + 5, y + 5, value FROM vox) SELECT x, y, round(max(value), 4) AS largest, round(avg(value), 4) AS mean FROM m GROUP BY x, y")
 def blended_mosaic(spark, sf_dir):
     """IMG27, AGG35, IMG13: two shifted tiles blended by maximum and by mean."""
-    rows = voxels(spark, sf_dir)
-    both = rows.select("x", "y", "value").union(rows.select(F.col("x") + 5, F.col("y") + 5, "value"))
-    return both.groupBy("x", "y").agg(F.round(F.max("value"), 4).alias("largest"), F.round(F.avg("value"), 4).alias("mean"))
+    rows = volume(spark, sf_dir)
+    tiles = rows.union(rows.withColumn("fov", F.lit(1)))
+    offsets = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 5, 5)], "fov int, dz int, dy int, dx int")
+    largest = V.mosaic(tiles, offsets, "max").select("x", "y", r("value", 4)).withColumnRenamed("value", "largest")
+    return largest.join(V.mosaic(tiles, offsets, "mean").select("x", "y", F.round("value", 4).alias("mean")), ["x", "y"])
 
 
 @query(f"WITH {_VOXELS} SELECT round(corr(a.value, b.value), 6) AS correlation, count(*) AS voxels FROM vox a JOIN vox b ON b.x = a.x + 1 AND b.y = a.y WHERE a.x BETWEEN 10 AND 29 AND a.y BETWEEN 10 AND 29")
 def crop_correlation(spark, sf_dir):
     """IMG18: correlation of two volumes over the central crop."""
-    rows = voxels(spark, sf_dir)
-    moved = rows.select((F.col("x") - 1).alias("x"), "y", F.col("value").alias("other"))
-    return rows.join(moved, ["x", "y"]).where("x between 10 and 29 and y between 10 and 29").agg(F.round(F.corr("value", "other"), 6).alias("correlation"), F.count(F.lit(1)).alias("voxels"))
+    rows = volume(spark, sf_dir)
+    moved = rows.withColumn("x", F.col("x") - 1)
+    return V.crop_correlation(rows, moved, (0, 10, 10), (0, 29, 29)).select(r("correlation"), "voxels")
 
 
 @query(f"WITH {B.CELLS} SELECT cell, round(least(greatest(x - 3.5::DOUBLE, 0), 999), 4) AS x, round(least(greatest(y + 2.25::DOUBLE, 0), 999), 4) AS y FROM cells")
 def shifted_spots(spark, sf_dir):
     """IMG23: spot coordinates in the moving round, clipped at the border."""
-    clip = lambda c: F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(999.0)), 4)
-    return B.cells(spark, sf_dir).select("cell", clip(F.col("x") - 3.5).alias("x"), clip(F.col("y") + 2.25).alias("y"))
+    spots = B.cells(spark, sf_dir).select("cell", F.lit(0).alias("fov"), F.lit(0.0).alias("z"), "y", "x")
+    flow = spark.createDataFrame([(0, None, None, None, 0.0, 2.25, -3.5)], "fov int, z long, y long, x long, dz double, dy double, dx double")
+    return V.moved_spots(spots, flow, (1, 1000, 1000)).select("cell", r("x", 4), r("y", 4))
+
+
+#: Volumes with plateaus: suppliers' voxels in 3-D, values in whole tenths.
+_PLATEAUS = """vox AS (SELECT l_linenumber AS fov, l_suppkey % 4 AS z, l_suppkey // 4 % 10 AS y, l_partkey % 20 AS x, round(avg(l_discount) * 100) AS value FROM lineitem GROUP BY 1, 2, 3, 4),
+bright AS (SELECT *, row_number() OVER (ORDER BY fov, z, y, x) AS id FROM vox WHERE value > 5),
+near AS (SELECT a.id AS a, b.id AS b, a.value AS va, b.value AS vb FROM bright a JOIN bright b ON a.fov = b.fov AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.id <> b.id)"""
+
+
+@query(f"""WITH RECURSIVE {_PLATEAUS}, eq AS (SELECT a, b FROM near WHERE va = vb), reach AS (SELECT id AS a, id AS b FROM bright UNION SELECT reach.a, eq.b FROM reach JOIN eq ON eq.a = reach.b),
+grp AS (SELECT b AS id, min(a) AS g FROM reach GROUP BY b), beaten AS (SELECT DISTINCT a FROM near WHERE vb > va)
+SELECT fov, round(avg(z), 6) AS z, round(avg(y), 6) AS y, round(avg(x), 6) AS x, max(value) AS intensity, count(*) AS voxels FROM bright JOIN grp USING (id) LEFT JOIN beaten ON beaten.a = bright.id GROUP BY fov, g HAVING count(beaten.a) = 0""")
+def plateau_maxima(spark, sf_dir):
+    """IMG21: 26-connected plateaus of a volume that no neighbour exceeds, by centroid."""
+    rows = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("fov"), (F.col("l_suppkey") % 4).alias("z"), (F.floor(F.col("l_suppkey") / 4) % 10).alias("y"), (F.col("l_partkey") % 20).alias("x"))
+    return V.regional_maxima(rows.agg(F.round(F.avg("l_discount") * 100).alias("value")), 5.0).select("fov", r("z"), r("y"), r("x"), "intensity", "voxels")

@@ -131,3 +131,18 @@ def neighbour_vote(spark, sf_dir):
     votes = knn(spark, sf_dir).join(labels, "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
     best = W.partitionBy("src").orderBy(F.desc("n"), "label")
     return votes.withColumn("k", F.row_number().over(best)).where("k = 1").select("src", "label")
+
+
+@query(f"""WITH {B.COORDS}, p AS (SELECT cell, section % 2 AS sample, cell % 3 AS type, x, y FROM coords), d AS (SELECT a.cell, a.type = b.type AS same, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.sample = b.sample AND a.cell <> b.cell),
+al AS (SELECT cell, d FROM (SELECT cell, d, row_number() OVER (PARTITION BY cell ORDER BY d) AS k FROM d) WHERE k = 5), sm AS (SELECT cell, d FROM (SELECT cell, d, row_number() OVER (PARTITION BY cell ORDER BY d) AS k FROM d WHERE same) WHERE k = 5),
+am AS (SELECT sample, median(d) AS m FROM p JOIN al USING (cell) GROUP BY 1), e AS (SELECT sample, type, count(*) AS n, median(d) AS m FROM p LEFT JOIN sm USING (cell) GROUP BY 1, 2 HAVING count(*) >= 5),
+r AS (SELECT type, e.sample, n, e.m / am.m AS ratio FROM e JOIN am ON am.sample = e.sample), w AS (SELECT *, sum(n) OVER (PARTITION BY type ORDER BY ratio, sample) AS upto, sum(n) OVER (PARTITION BY type) AS total FROM r),
+t AS (SELECT type, count(*) AS samples, sum(n)::BIGINT AS cells, arg_min(ratio, upto) FILTER (WHERE upto >= total / 2) AS ratio FROM w GROUP BY type), q AS (SELECT quantile_cont(ln(1 + ratio), 0.05) AS lo, quantile_cont(ln(1 + ratio), 0.95) AS hi FROM t),
+s AS (SELECT t.*, (least(greatest(ln(1 + ratio), lo), hi) - lo) / (hi - lo) AS scattered FROM t, q), q2 AS (SELECT quantile_cont(scattered, 0.05) AS a, quantile_cont(scattered, 0.95) AS b FROM s), u AS (SELECT s.*, (least(greatest(scattered, a), b) - a) / (b - a) AS z FROM s, q2)
+SELECT type, samples, cells, round(ratio, 6) AS ratio, round(scattered, 6) AS scattered, round(1.2::DOUBLE + (1 - z) * 2.6::DOUBLE, 6) AS penalty, round_even(20 + z * 40, 0)::INT AS candidate_k, round_even(10 + z * 20, 0)::INT AS attention_k FROM u""")
+def adaptive_parameters(spark, sf_dir):
+    """GRF11: spatial parameters of each cell type by how clumped it lies in its samples."""
+    at = B.coordinates(spark, sf_dir).select("cell", F.array("x", "y").alias("v"), (F.col("section") % 2).alias("sample"), (F.col("cell") % 3).alias("type"))
+    kth = lambda grp, name: NB.nearest(at.select("cell", "v", grp.alias("grp")), k=5).where("rank = 5").select(F.col("src").alias("cell"), F.col("distance").alias(name))
+    distances = kth(F.col("sample"), "all_kth").join(kth(F.col("sample") * 3 + F.col("type"), "same_kth"), "cell", "left")
+    return NB.adaptive_parameters(at.select("cell", "sample", "type"), distances, least_cells=5).select("type", "samples", "cells", r("ratio"), r("scattered"), r("penalty"), "candidate_k", "attention_k")
