@@ -191,6 +191,29 @@ def filtered(basis: DataFrame, gains: DataFrame, values: DataFrame, remove_const
     return long.join(kept, "k").groupBy("cell", "gene").agg(F.sum(F.col("v") * F.col("c")).alias("value"))
 
 
+def gene_filtered(lap: DataFrame, basis: DataFrame, lam: np.ndarray, values: DataFrame, beta_min: float = 1.0, beta_max: float = 10.0) -> DataFrame:
+    """LIN15: (cell, gene, value): each gene filtered by exp(-beta lambda / largest lambda), the smoother the gene the more.
+
+    lap: (src, dst, weight) of the Laplacian, diagonal included; basis: (cell, u) and lam its eigenvalues, rising; values: (cell,
+    gene, value), absent rows being zeros. The constant part, along the first vector, is taken out and stays out. A gene's
+    roughness is x^T L x / (|x|^2 + 1e-8) of what is left; beta falls from beta_max for the smoothest gene to beta_min for
+    the roughest. The result has a row for every cell and gene, as has the part that is left.
+    """
+    first = basis.select("cell", F.col("u")[0].alias("v"))
+    along = first.join(values, "cell").groupBy("gene").agg(F.sum(F.col("v") * F.col("value")).alias("c"))
+    grid = first.crossJoin(F.broadcast(along)).join(values, ["cell", "gene"], "left")  # a row of along is a gene
+    left = materialised(grid.select("cell", "gene", (F.coalesce("value", F.lit(0.0)) - F.col("v") * F.col("c")).alias("value")))
+    ends = [left.select(F.col("cell").alias(c), "gene", F.col("value").alias(x)) for c, x in (("src", "a"), ("dst", "b"))]
+    form = lap.join(ends[0], "src").join(ends[1], ["dst", "gene"]).groupBy("gene").agg(F.sum(F.col("weight") * F.col("a") * F.col("b")).alias("form"))
+    size = left.groupBy("gene").agg(F.sum(F.col("value") * F.col("value")).alias("size"))
+    rough = materialised(size.join(form, "gene", "left").select("gene", (F.coalesce("form", F.lit(0.0)) / (F.col("size") + 1e-8)).alias("r")))
+    ends = F.broadcast(rough.agg(F.min("r").alias("low"), F.max("r").alias("high")))
+    beta = rough.join(ends).select("gene", (beta_max - (F.col("r") - F.col("low")) / (F.col("high") - F.col("low") + 1e-8) * (beta_max - beta_min)).alias("beta"))
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(x / max(lam.max(), 1e-300))).alias("l")) for k, x in enumerate(lam) if k]))
+    gains = beta.select("gene", "beta", steps.alias("s")).select("gene", "s.k", F.exp(-F.col("s.l") * F.col("beta")).alias("gain"))
+    return filtered(basis, gains, values)
+
+
 def singular_values(vectors: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(falling singular values, right singular vectors as columns) of rows (cell, v), at most `most` of them, from the
     products of columns; columns are genes, some thousands, whose products the driver holds."""

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cellweave.operators import impute, spectral
+from cellweave.operators.graph import laplacian
 from cellweave.plans.graphs import symmetric, values
 from cellweave.plans.registry import query
 from cellweave.sources import bindings as B
@@ -36,3 +37,11 @@ def principal_components(spark, sf_dir):
     """LIN01, LIN18: the first five components of all vectors."""
     rows, share = spectral.principal_components(B.embedding(spark, sf_dir).select("cell", "v"), 5)
     return rows.select("cell", F.posexplode("x").alias("k", "x")).withColumn("share", F.array(*[F.lit(float(s)) for s in share])[F.col("k")])
+
+
+@query()
+def gene_filtered_values(spark, sf_dir):
+    """LIN13, LIN14, LIN15: every gene under a heat filter of its own, by its roughness on the graph."""
+    edges = materialised(symmetric(spark, sf_dir))
+    value, basis = spectral.smallest_laplacian(edges, 8)
+    return spectral.gene_filtered(laplacian(edges), basis, value, values(spark, sf_dir))

@@ -126,3 +126,21 @@ def test_nearest_among_hundreds_of_copies(spark):
     want = [(i, k + 1, int(j)) for i in range(700) for k, j in enumerate(np.lexsort((np.arange(700), d[i]))[:10])]
     for size in (128, 4096):
         assert sorted((r.src, r["rank"], r.dst) for r in neighbors.nearest(rows, k=10, block_rows=size).collect()) == want
+
+
+def test_filters_by_gene_against_dense_algebra(spark):
+    rng = np.random.default_rng(12)
+    w = np.triu((rng.random((18, 18)) < 0.3) * rng.random((18, 18)), 1)
+    w += w.T + np.diag(np.ones(17), 1) * 0.2 + np.diag(np.ones(17), -1) * 0.2
+    d = w.sum(1)
+    lap = np.eye(18) - w / np.sqrt(np.outer(d, d))
+    lam, vec = np.linalg.eigh(lap)
+    lam, vec, x = lam[:6], vec[:, :6], rng.random((18, 4)) * (rng.random((18, 4)) < 0.7)
+    spatial = x - np.outer(vec[:, 0], vec[:, 0] @ x)
+    rough = np.einsum("ig,ij,jg->g", spatial, lap, spatial) / ((spatial**2).sum(0) + 1e-8)
+    beta = 10 - (rough - rough.min()) / (rough.max() - rough.min() + 1e-8) * 9
+    want = vec[:, 1:] @ (np.exp(-np.outer(lam[1:] / lam[1:].max(), beta)) * (vec[:, 1:].T @ spatial))
+    rows = lambda m, skip=False: [(int(i), int(j), float(m[i, j])) for i, j in np.ndindex(m.shape) if m[i, j] or not skip]
+    basis = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "cell long, u array<double>")
+    got = spectral.gene_filtered(spark.createDataFrame(rows(lap, True), "src long, dst long, weight double"), basis, lam, spark.createDataFrame(rows(x, True), "cell long, gene long, value double")).collect()
+    assert len(got) == 72 and all(abs(r.value - want[r.cell, r.gene]) < 1e-9 for r in got)
