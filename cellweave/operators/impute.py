@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.numeric import freeman_tukey
 from cellweave.operators.expression import median_normalised, restored_low_rank
-from cellweave.operators.neighbors import nearest
+from cellweave.operators.neighbors import balanced, nearest
 from cellweave.operators.spectral import chosen_rank, low_rank, principal_components, singular_values
 from cellweave.sources.shared import materialised
 
@@ -70,3 +70,14 @@ def alra(expr: DataFrame, rank: int | None = None, most: int = 100, noise_start:
     values, vec = singular_values(vectors, most)
     rank = chosen_rank(values, noise_start) if rank is None else rank
     return restored_low_rank(materialised(low_rank(vectors, vec[:, :rank], genes)), expr)
+
+
+def balanced_imputed(expr: DataFrame, points: DataFrame, k: int, sight: int, most: int) -> DataFrame:
+    """MDL14: (cell, gene, value): the mean of a cell and its balanced neighbours, k of the `sight` nearest in points (cell, v), none
+    of which more than `most` cells share; absent rows of expr are zeros."""
+    edges = balanced(nearest(points, k=sight).select("src", "dst", "distance"), k, most)
+    own = points.select(F.col("cell").alias("src"), F.col("cell").alias("dst"))
+    links = materialised(edges.select("src", "dst").union(own))
+    size = links.groupBy(F.col("src").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    sums = links.join(expr.withColumnRenamed("cell", "dst"), "dst").groupBy(F.col("src").alias("cell"), "gene").agg(F.sum("value").alias("s"))
+    return sums.join(size, "cell").select("cell", "gene", (F.col("s") / F.col("n")).alias("value"))

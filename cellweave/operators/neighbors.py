@@ -208,6 +208,28 @@ def capped(edges: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def balanced(edges: DataFrame, k: int, most: int) -> DataFrame:
+    """MDL14: (src, dst, distance): of candidate neighbours (src, dst, distance), k for each source, or fewer, with no dst chosen by
+    over `most` sources.
+
+    Rounds of proposals: a source asks its nearest candidates that have not refused it, up to k at a time; a candidate keeps
+    the `most` nearest of those who asked, ties by id, and refuses the others for good. It ends when nobody was refused. The
+    result does not depend on the order of rows: no source and candidate would both rather have each other than one they
+    have got. A round is two windows, and a row that was refused goes.
+    """
+    left = materialised(edges.where("src <> dst").select("src", "dst", "distance").distinct())
+    nearest_first = W.partitionBy("src").orderBy("distance", "dst")
+    closest_first = W.partitionBy("dst").orderBy("distance", "src")
+    while True:
+        asked = left.withColumn("asks", F.row_number().over(nearest_first) <= k)
+        heard = asked.where("asks").withColumn("kept", F.row_number().over(closest_first) <= most)
+        told = materialised(heard.select("src", "dst", "distance", "kept"))
+        refused = told.where("not kept").select("src", "dst")
+        if refused.isEmpty():
+            return told.select("src", "dst", "distance")
+        left = materialised(left.join(refused, ["src", "dst"], "left_anti"))
+
+
 def nearest_by_vectors(edges: DataFrame, points: DataFrame) -> DataFrame:
     """JON21, ARR06: edges with the exact distance of their end points' vectors."""
     ends = [points.select(F.col("cell").alias(c), F.col("v").alias(f"v_{c}")) for c in ("src", "dst")]

@@ -45,3 +45,24 @@ def test_nearest_against_all_pairs(spark, bytes_, rows):
     assert told(neighbors.nearest(grouped, k=4, **options).collect()) == plain(x, ids, range(300), 4, True, [i % 3 for i in ids])
     assert neighbors.nearest(points.where("cell < 0"), k=3, **options).count() == 0
 
+
+
+def test_balanced_neighbours_against_plain_proposals(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(30, 2)) * 0.1, rng.normal(size=(50, 2)) * 3])
+    near = {i: sorted((round(float(np.hypot(*(x[i] - x[j]))), 12), j) for j in range(80) if j != i)[:15] for i in range(80)}
+    edges = spark.createDataFrame([(i, j, d) for i, c in near.items() for d, j in c], "src long, dst long, distance double")
+    for k, most in ((4, 5), (6, 3), (3, 100)):
+        got = {(r.src, r.dst) for r in neighbors.balanced(edges, k, most).collect()}
+        held, refused = {j: [] for j in range(80)}, set()
+        while True:  # one source at a time asks for one more
+            open_ = [(i, next(((d, j) for d, j in near[i] if (i, j) not in refused and not any(s == i for _, s in held[j])), None)) for i in range(80) if sum(any(s == i for _, s in h) for h in held.values()) < k]
+            open_ = [(i, c) for i, c in open_ if c]
+            if not open_:
+                break
+            i, (d, j) = open_[-1]
+            held[j] = sorted([*held[j], (d, i)])
+            if len(held[j]) > most:
+                refused.add((held[j].pop()[1], j))
+        assert got == {(i, j) for j, h in held.items() for _, i in h}
+        assert max(len(h) for h in held.values()) <= most
