@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat_format, collocations, decontaminate, divergence, labels, language_id, license_scan, line_dedup, packing, quality_rank, quality_rules, simhash_dedup, toxicity, vector_dedup
+from cellweave.llm import chat_format, collocations, decontaminate, divergence, labels, language_id, license_scan, line_dedup, packing, quality_rank, quality_rules, shared, simhash_dedup, toxicity, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,32 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.col("h.items").alias("item_id"), F.col("h.scores").alias("score"), F.col("h.question_overlaps").alias("question_overlap"), F.col("h.answer_overlaps").alias("answer_overlap"))
 
 
+def _as_log(rows: DataFrame) -> DataFrame:
+    """A log whose messages end up as rows (conv_id, turn, role, text, _file, _row): by a hash of the row, a message comes whole, in
+    two deltas, is edited from its other half to what it is, or is streamed, regenerated and streamed again. A row without a
+    turn comes whole, as its events would have no order."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    front, back = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    event = lambda step, kind, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+    ways = [
+        F.array(event(0, "message", text)),
+        F.array(event(0, "message", front), event(1, "delta", back)),
+        F.array(event(0, "message", back), event(1, "edit", text)),
+        F.array(event(0, "message", back), event(1, "delta", front), event(2, "regenerate", front), event(3, "delta", back)),
+    ]
+    way = F.when(F.col("turn").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(4)))
+    events = F.coalesce(*[F.when(way == k, e) for k, e in enumerate(ways)])
+    message = F.concat_ws("/", F.col("_file").cast("string"), F.col("_row").cast("string"))
+    out = rows.select("conv_id", "turn", "role", message.alias("message"), F.explode(events).alias("e"))
+    return out.select("conv_id", (F.col("turn").cast("long") * 4 + F.col("e.step")).alias("seq"), F.col("e.kind").alias("kind"), "message", "role", F.col("e.text").alias("text"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message"), "role", "text")
-    return chat_format.digests(chat_format.render(chat_format.fold(events)))
+    more = spark.createDataFrame([(-1, 0, "user", said, 0, 0), (-1, 1, "assistant", said, 0, 1)], "conv_id long, turn long, role string, text string, _file long, _row long")
+    rows = shared.numbered(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text", "_file", "_row").unionByName(more)
+    return chat_format.digests(chat_format.render(chat_format.fold(_as_log(rows))))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
