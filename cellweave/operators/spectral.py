@@ -150,13 +150,28 @@ def smallest_laplacian(edges: DataFrame, k: int, **options) -> tuple[np.ndarray,
     return 2.0 - value, basis
 
 
-def fused_basis(graphs: list[DataFrame], weights: list[float], alphas: list[float], k: int, **options) -> tuple[np.ndarray, DataFrame]:
-    """LIN09: the k smallest (algebraic) eigenpairs of sum w L - sum alpha U U^T; U is each graph's own basis.
-
-    The sum of projections stays factored, so nothing dense of the graph's size is made. The matrix is indefinite; a
-    shift by the bound 2 sum w turns its smallest eigenvalues into the largest ones.
+def _strengthened(basis: DataFrame, strengths: DataFrame) -> tuple[float, DataFrame]:
+    """(greatest strength, D^1/2 U) for strengths (cell, alpha) on the diagonal of D; a cell without a strength has 0."""
+    ends = strengths.agg(F.min("alpha").alias("lo"), F.max("alpha").alias("hi")).first()
+    if ends["lo"] is not None and not (ends["lo"] >= 0 and ends["hi"] < float("inf")):
+        raise ValueError("strengths are finite and not negative")
+    root = F.sqrt(F.coalesce("alpha", F.lit(0.0)))
+    scaled = basis.join(strengths.select("cell", "alpha"), "cell", "left").select("cell", F.transform("u", lambda v: v * root).alias("u"))
+    return ends["hi"] or 0.0, materialised(scaled)
+
+
+def fused_basis(graphs: list[DataFrame], weights: list[float], alphas: list[float | DataFrame], k: int, **options) -> tuple[np.ndarray, DataFrame]:
+    """LIN09, LIN10: the k smallest (algebraic) eigenpairs of sum w L - sum P; U is each graph's own basis and P its projection
+    alpha U U^T, or D^1/2 U U^T D^1/2 for a strength of each cell, given as a table (cell, alpha) of one row a cell.
+
+    The sum of projections stays factored, so nothing dense of the graph's size is made: strengths of cells scale the rows of
+    U, and P's norm is at most the greatest of them. The matrix is indefinite; a shift by the bound 2 sum w turns its smallest
+    eigenvalues into the largest ones.
     """
     bases = [smallest_laplacian(g, k, **options)[1] for g in graphs]
+    by_cell = [_strengthened(u, a) if isinstance(a, DataFrame) else None for u, a in zip(bases, alphas, strict=True)]
+    reach = sum(a if s is None else s[0] for a, s in zip(alphas, by_cell, strict=True))
+    parts = [(a, u) if s is None else (1.0, s[1]) for a, u, s in zip(alphas, bases, by_cell, strict=True)]
     total = None
     for g, w in zip(graphs, weights, strict=True):
         part = laplacian(g).select("src", "dst", (F.col("weight") * w).alias("weight"))
@@ -164,7 +179,7 @@ def fused_basis(graphs: list[DataFrame], weights: list[float], alphas: list[floa
     total = materialised(total.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     nodes = total.select(F.col("src").alias("cell")).distinct()
     top = 2.0 * sum(weights)
-    value, basis = extreme_eigenpairs(total, nodes, k, top, -1.0, (0.0, top + sum(alphas)), low_rank=list(zip(alphas, bases, strict=True)), **options)
+    value, basis = extreme_eigenpairs(total, nodes, k, top, -1.0, (0.0, top + reach), low_rank=parts, **options)
     return top - value, basis
 
 

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cellweave.operators import impute, spectral
-from cellweave.operators.graph import laplacian
+from cellweave.operators.graph import laplacian, symmetrised
+from cellweave.operators.graph import strongest as strongest_edges
 from cellweave.plans.graphs import symmetric, values
 from cellweave.plans.registry import query
 from cellweave.sources import bindings as B
@@ -45,3 +46,13 @@ def gene_filtered_values(spark, sf_dir):
     edges = materialised(symmetric(spark, sf_dir))
     value, basis = spectral.smallest_laplacian(edges, 8)
     return spectral.gene_filtered(laplacian(edges), basis, value, values(spark, sf_dir))
+
+
+@query()
+def fused_basis_by_cell(spark, sf_dir):
+    """LIN09, LIN10: the four smoothest vectors over two graphs, less their own bases; the first with a strength for each cell."""
+    edges = materialised(symmetric(spark, sf_dir))
+    strongest = materialised(symmetrised(strongest_edges(edges, 5).select("src", "dst", "weight")))
+    strengths = B.embedding(spark, sf_dir).select("cell", ((F.col("label") % 3 + 1) / 4.0).alias("alpha"))
+    value, basis = spectral.fused_basis([edges, strongest], [1.0, 0.5], [strengths, 0.25], 4)
+    return basis.select("cell", F.posexplode("u").alias("k", "v")).withColumn("lam", F.array(*[F.lit(float(x)) for x in value])[F.col("k")])

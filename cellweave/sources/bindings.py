@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SPOTS = """spots AS (SELECT c_custkey AS read, c_nationkey::BIGINT % 3 AS section, ((c_custkey * 37) % 1000)::DOUBLE AS x, ((c_custkey * 91) % 1000)::DOUBLE AS y,
+  (c_custkey % 8)::DOUBLE AS z, c_mktsegment AS gene FROM customer)"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,3 +84,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cells(cell, fov, x, y): places within each field of view"""
     place = lambda k: ((F.col("c_custkey") * k) % 1000).cast("double")
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_nationkey").cast("long").alias("fov"), place(37).alias("x"), place(91).alias("y"))
+
+
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spots(read, section, x, y, z, gene): decoded reads of three sections"""
+    place = lambda k, m: ((F.col("c_custkey") * k) % m).cast("double")
+    rows = table(spark, sf_dir, "customer").withColumn("section", F.col("c_nationkey").cast("long") % 3)
+    return rows.select(F.col("c_custkey").alias("read"), "section", place(37, 1000).alias("x"), place(91, 1000).alias("y"), place(1, 8).alias("z"), F.col("c_mktsegment").alias("gene"))

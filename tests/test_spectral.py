@@ -144,3 +144,21 @@ def test_filters_by_gene_against_dense_algebra(spark):
     basis = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "cell long, u array<double>")
     got = spectral.gene_filtered(spark.createDataFrame(rows(lap, True), "src long, dst long, weight double"), basis, lam, spark.createDataFrame(rows(x, True), "cell long, gene long, value double")).collect()
     assert len(got) == 72 and all(abs(r.value - want[r.cell, r.gene]) < 1e-9 for r in got)
+
+
+def test_fused_basis_with_a_strength_for_each_cell(spark):
+    a, b = ring(40, 30), ring(40, 60)[::-1, ::-1]
+    rng = np.random.default_rng(5)
+    alpha = rng.random(40) * 1.5
+    alpha[3] = 0.0  # and cell 7 has no row
+    table = spark.createDataFrame([(i, float(x)) for i, x in enumerate(alpha) if i != 7], "cell long, alpha double")
+    alpha[7] = 0.0
+    value, basis = spectral.fused_basis([edges_of(spark, a), edges_of(spark, b)], [1.0, 0.5], [table, 0.25], 3, steps=6)
+    ua, ub = (np.linalg.eigh(laplacian(w))[1][:, :3] for w in (a, b))
+    half = np.diag(np.sqrt(alpha))
+    m = laplacian(a) + 0.5 * laplacian(b) - half @ ua @ ua.T @ half - 0.25 * ub @ ub.T
+    u = matrix(basis)
+    assert np.allclose(value, np.linalg.eigvalsh(m)[:3], atol=2e-3)
+    assert np.linalg.norm(m @ u - u * value) < 2e-2 and np.allclose(u.T @ u, np.eye(3), atol=1e-6)
+    with pytest.raises(ValueError):
+        spectral.fused_basis([edges_of(spark, a)], [1.0], [spark.createDataFrame([(0, -1.0)], "cell long, alpha double")], 2, steps=6)
