@@ -54,5 +54,5 @@ def fused_basis_by_cell(spark, sf_dir):
     edges = materialised(symmetric(spark, sf_dir))
     strongest = materialised(symmetrised(strongest_edges(edges, 5).select("src", "dst", "weight")))
     strengths = B.embedding(spark, sf_dir).select("cell", ((F.col("label") % 3 + 1) / 4.0).alias("alpha"))
-    value, basis = spectral.fused_basis([edges, strongest], [1.0, 0.5], [strengths, 0.25], 4)
+    value, basis = spectral.fused_basis([edges, strongest], [1.0, 0.5], [strengths, 0.25], 4, tolerance=5e-3)
     return basis.select("cell", F.posexplode("u").alias("k", "v")).withColumn("lam", F.array(*[F.lit(float(x)) for x in value])[F.col("k")])
