@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE_SQL: dict[str, str] = {}
-MODULES = ("regulons", "expression", "cells", "geometry", "graphs", "decoding", "texts", "spectra", "affinities", "images", "alignments", "models", "multimodal", "segments")
+MODULES = ("regulons", "expression", "cells", "geometry", "graphs", "decoding", "texts", "spectra", "affinities", "images", "alignments", "models", "multimodal", "segments", "contracts")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
