@@ -7,7 +7,9 @@ similarity are linked, and of each connected group only its first occurrence sta
 
 With grams=True every line with a word is deduplicated exactly, and lines of at least LEAST_CHARS characters, in any script,
 also by edit similarity: two lines meet where four minima of hashes of their 5-byte grams agree, in one of 6 bands, or of
-12 or 24 if both are short. The chance to meet depends on the share of common grams and not on whole words.
+12 or 24 if both are short. The chance to meet depends on the share of common grams and not on whole words. It is a chance: of
+pairs at the edge of the edit similarity many do not meet. Those that do, and whose fingerprints differ in at most
+GRAM_BITS bits, are linked by their edit distance alone.
 
 Lines are equal if two independent 64-bit hashes agree, so that chance does not remove a line even among 10^12 of them.
 """
@@ -38,13 +40,14 @@ MINIMA = 24
 _mixed = [np.random.default_rng(k).permutation(MINIMA).reshape(6, 4).tolist() for k in (1, 2)]
 BANDS = [[4 * k, 4 * k + 1, 4 * k + 2, 4 * k + 3] for k in range(6)] + [[k, k + 6, k + 12, k + 18] for k in range(6)] + _mixed[0] + _mixed[1]
 GRAM_BITS = 14
-#: Lines of at most so many bytes get so many bands, since one edit changes more of their grams; fingerprints of the
-#: first two kinds have SHORT_BITS bits.
+#: Lines of at most so many bytes get so many bands, since one edit changes more of their grams; fingerprints of
+#: those up to SHORT_PRINT bytes have SHORT_BITS bits.
 SHORT, SHORT_BITS = ((96, 24), (192, 12), (1 << 62, 6)), 52
-#: Lines with a smaller share of common grams than this get no edit check.
-LEAST_COMMON = 0.45
+SHORT_PRINT = 192
 #: Slots of a task's memory of lines whose keys it has given; a line that it forgets gives its keys again.
 SLOTS = 1 << 18
+#: Entries of the table of symbols of the pieces of lines whose distances are taken together.
+BATCH = 1 << 17
 _CHECK = np.uint64(0x5851F42D4C957F2D)
 _FACTORS = np.random.default_rng(64).integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -99,6 +102,13 @@ def _aligned_cost(u: list[str], v: list[str], most: int) -> int:
 _STEPS = ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2), (2, 0), (0, 2))
 
 
+def _close_words(u: list[str], v: list[str], most: int) -> bool:
+    """Whether an alignment of words shows that the edit distance is at most `most`."""
+    if len(u) == len(v) and sum([max(len(x), len(y)) for x, y in zip(u, v, strict=True) if x != y]) <= most:
+        return True
+    return _aligned_cost(u, v, most) <= most
+
+
 def similar(a: str, b: str, least: float, least_common: float = 0.0) -> bool:
     """Whether 1 - edit distance / longer length is at least `least`.
 
@@ -110,9 +120,7 @@ def similar(a: str, b: str, least: float, least_common: float = 0.0) -> bool:
     if longest - min(len(a), len(b)) > most:
         return False
     u, v = a.split(" "), b.split(" ")
-    if len(u) == len(v) and sum([max(len(x), len(y)) for x, y in zip(u, v, strict=True) if x != y]) <= most:
-        return True
-    if _aligned_cost(u, v, most) <= most:
+    if _close_words(u, v, most):
         return True
     if least_common:
         if min(len(u), len(v)) >= 8:
@@ -125,6 +133,76 @@ def similar(a: str, b: str, least: float, least_common: float = 0.0) -> bool:
     return edit_distance(a, b) <= most
 
 
+def _least_edits(pattern: np.ndarray, m: np.ndarray, text: np.ndarray, n: np.ndarray, symbols: int) -> np.ndarray:
+    """Of each pattern, of at most 64 symbols, the least edit distance to any run of its text, bit-parallel over all at once.
+
+    Both hold symbols (under `symbols`) end to end; the lengths n rise.
+    """
+    size, width, one = len(m), symbols + 1, np.uint64(1)
+    same = np.zeros(size * width, np.uint64)
+    np.add.at(same, np.repeat(np.arange(size) * width, m) + pattern, one << K.positions(m)[1].astype(np.uint64))
+    column = np.full((int(n[-1]), size), symbols, np.int64)
+    column[K.positions(n)[1], np.repeat(np.arange(size), n)] = text
+    column += np.arange(size) * width
+    up, down, score, last = np.full(size, ~np.uint64(0)), np.zeros(size, np.uint64), m.astype(np.int64), (m - 1).astype(np.uint64)
+    least, begin = score.copy(), np.searchsorted(n, np.arange(len(column)), "right")
+    for j, at in enumerate(begin.tolist()):
+        p, d = up[at:], down[at:]
+        eq = same[column[j, at:]]
+        x = (((eq & p) + p) ^ p) | eq
+        eq |= d
+        plus, minus = d | ~(x | p), p & x
+        score[at:] += (plus >> last[at:] & one).astype(np.int64)
+        score[at:] -= (minus >> last[at:] & one).astype(np.int64)
+        np.minimum(least[at:], score[at:], out=least[at:])
+        plus, minus = plus << one, minus << one
+        up[at:], down[at:] = minus | ~(eq | plus), plus & eq
+    return least
+
+
+def least_distances(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Lower bounds of the edit distances of pairs, which hold where a distance is at most `most`.
+
+    Each 64 characters of a line stand, in the other one, at most `most` from their own place; their least distances to
+    any run there add up.
+    """
+    size = np.array([[len(x) for x in a], [len(x) for x in b]], np.int64)
+    codes = np.frombuffer("".join([*a, *b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = np.flatnonzero(np.bincount(codes, minlength=1))
+    rank = np.zeros(int(symbols[-1]) + 1, np.int64)
+    rank[symbols] = np.arange(len(symbols))
+    codes, begin = rank[codes], (np.cumsum(size.ravel()) - size.ravel()).reshape(2, -1)
+    parts = -(-size[0] // 64)
+    pair, place = np.repeat(np.arange(len(a)), parts), K.positions(parts)[1] * 64
+    end, reach = np.minimum(place + 64, size[0, pair]), most[pair]
+    lo, hi = np.minimum(np.maximum(place - reach, 0), size[1, pair]), np.minimum(end + reach, size[1, pair])
+    order, out = np.argsort(hi - lo, kind="stable"), np.zeros(len(a), np.int64)
+    run = lambda first, n: codes[np.repeat(first, n) + K.positions(n)[1]]
+    while len(order):
+        now = order[: max(1, BATCH // (len(symbols) + 1))]
+        now = now[: max(1, 32 * BATCH // int((hi - lo)[now[-1]] + 1))]  # as long as their runs, which rise, fit
+        order = order[len(now) :]
+        of, m, n = pair[now], (end - place)[now], (hi - lo)[now]
+        np.add.at(out, of, _least_edits(run(begin[0, of] + place[now], m), m, run(begin[1, of] + lo[now], n), n, len(symbols)))
+    return out
+
+
+def similar_pairs(a: list[str], b: list[str], least: float) -> list[bool]:
+    """similar() of each two lines; pairs that are far apart are told by a bound that is taken for all of them at once."""
+    most = [int((1 - least) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
+    out = [abs(len(x) - len(y)) <= k for x, y, k in zip(a, b, most, strict=True)]
+    unsure = []
+    for i in (i for i, near in enumerate(out) if near):
+        if not _close_words(a[i].split(" "), b[i].split(" "), most[i]):
+            unsure.append(i)
+    for at in range(0, len(unsure), 2048):
+        now = unsure[at : at + 2048]
+        far = least_distances([a[i] for i in now], [b[i] for i in now], np.array([most[i] for i in now], np.int64))
+        for i, bound in zip(now, far.tolist(), strict=True):
+            out[i] = bound <= most[i] and edit_distance(a[i], b[i]) <= most[i]
+    return out
+
+
 def line_hashes(data: np.ndarray, offsets: np.ndarray, least_words: int):
     """Of each row the hashes of its normalised lines (0: too short), second hashes, words' hashes and places, and lines' starts and ends."""
     starts, ends, first = K.words(data, offsets)
@@ -176,7 +254,7 @@ def gram_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.n
     mixed = (low ^ low >> np.uint32(16)) * np.uint32(0x7FEB352D)
     bits = np.concatenate([mixed >> np.uint32(k) & np.uint32(1) for k in (31, 30, 29)])[:64]
     size = hi - lo
-    bits[SHORT_BITS:, size <= SHORT[1][0]] = 0
+    bits[SHORT_BITS:, size <= SHORT_PRINT] = 0
     prints = np.packbits(np.ascontiguousarray(bits.T.astype(np.uint8)), axis=1, bitorder="little").view(np.uint64).ravel()
     bands = np.zeros((len(wanted), len(BANDS)), np.uint64)
     for k, members in enumerate(BANDS):
@@ -263,17 +341,17 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.ravel(), bitorder="little")[:FILTER_BITS].astype(bool)
 
 
-def _verify_pairs(least: float, least_common: float):
+def _verify_pairs(least: float):
     def run(batches):
         for batch in batches:
             a, b, x, y = (batch.column(k) for k in range(4))
-            keep = pa.array([similar(s, t, least, least_common) for s, t in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
+            keep = pa.array(similar_pairs(x.to_pylist(), y.to_pylist(), least), pa.bool_())
             yield pa.record_batch([a.filter(keep), b.filter(keep)], ["a", "b"])
 
     return run
 
 
-def _verify_groups(bits: int, least: float, least_common: float):
+def _verify_groups(bits: int, least: float):
     """mapInArrow function from (near, key, fp, id, line), sorted by near and key, to links that span each group's connected parts.
 
     Groups that are likely to have members in common have one `near`; a pair of lines is compared once under it.
@@ -282,15 +360,12 @@ def _verify_groups(bits: int, least: float, least_common: float):
     def links(fp, ids, text, known):
         prints = np.array(fp, np.int64).view(np.uint64)
 
-        def same(i, k):
-            pair = (ids[i], ids[k]) if ids[i] < ids[k] else (ids[k], ids[i])
-            if pair not in known:
-                known[pair] = similar(text[i], text[k], least, least_common)
-            return known[pair]
-
         def near(i, rest):
             hit = np.bitwise_count(prints[rest] ^ prints[i]) <= bits
-            hit[hit] = [same(i, k) for k in rest[hit].tolist()]
+            pairs = {(min(ids[i], ids[k]), max(ids[i], ids[k])): k for k in rest[hit].tolist()}
+            new = [p for p in pairs if p not in known]
+            known.update(zip(new, similar_pairs([text[i]] * len(new), [text[pairs[p]] for p in new], least), strict=True))
+            hit[hit] = [known[p] for p in pairs]
             return hit
 
         return [(min(ids[p], ids[q]), max(ids[p], ids[q])) for p, q in shared.spread(len(ids), near)]
@@ -316,7 +391,7 @@ def _verify_groups(bits: int, least: float, least_common: float):
 
 def _groups(table: DataFrame, texts: DataFrame, least_words: int, similarity: float, grams: bool) -> DataFrame:
     """(id, check, component) of the fresh lines of `table` that are linked with others."""
-    bits, common = (GRAM_BITS, LEAST_COMMON) if grams else (BITS, 0.0)
+    bits = GRAM_BITS if grams else BITS
 
     def run(rows):
         return shared.bucket_links(shared.without_repeats(rows), bits, small=16, large=20_000, defer_all=True, sparse=2_000 if grams else 0)
@@ -335,13 +410,13 @@ def _groups(table: DataFrame, texts: DataFrame, least_words: int, similarity: fl
     sizes = met.agg(F.count_if(F.col("key").isNull()), F.count("key")).first()
     least_tasks = 4 * table.sparkSession.sparkContext.defaultParallelism
     found = pairs.hint("merge").join(a, "a").repartition(max(least_tasks, sizes[0] // 20_000), "b").join(b.hint("merge"), "b")
-    found = found.select("a", "b", "line_a", "line_b").mapInArrow(_verify_pairs(similarity, common), "a long, b long")
+    found = found.select("a", "b", "line_a", "line_b").mapInArrow(_verify_pairs(similarity), "a long, b long")
     if sizes[1]:
         # Groups with one least member are much the same in several bands; those of over 4,000 are dealt in tiles.
         least = crowd.groupBy("key").agg(F.when(F.count(F.lit(1)) <= 2000, F.min("id")).alias("least"))
         crowd = shared.in_tiles(crowd.join(least, "key"), 4000).withColumn("near", F.coalesce("least", "key")).join(lines, "id")
         crowd = crowd.select("near", "key", "fp", "id", "line").repartition(max(least_tasks, sizes[1] // 20_000), "near").sortWithinPartitions("near", "key")
-        found = found.union(crowd.mapInArrow(_verify_groups(bits, similarity, common), "a long, b long"))
+        found = found.union(crowd.mapInArrow(_verify_groups(bits, similarity), "a long, b long"))
     found = shared.cut(found, large=True)
     shared.drop(met)
     checks = each_check(table).join(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")

@@ -297,3 +297,28 @@ def test_queries_deduplicate_lines_by_grams(spark, tmp_path):
     rows = [(1, "all rights reserved.", None, None, 20), (2, "all rights reserved.", None, None, 20)]
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert sum(r.n_removed_lines for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()) == 1
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text("abc d\u00e9\u6f22", max_size=150), st.text("abc d\u00e9\u6f22", max_size=150)), min_size=1, max_size=60), st.floats(0.5, 0.95))
+def test_similar_pairs_equal_single_ones(pairs, least):
+    rng = random.Random(len(pairs))
+    near = [(x, "".join(rng.choice("ab ") if rng.random() < 0.15 else c for c in x)) for x, _ in pairs]
+    a, b = zip(*(pairs + near) * 3, strict=True)
+    want = [line_dedup.edit_distance(x, y) <= int((1 - least) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
+    assert line_dedup.similar_pairs(list(a), list(b), least) == want
+
+
+def test_line_dedup_by_grams_links_by_edit_distance_alone(spark):
+    """Lines of edit similarity 0.8 that have few 5-grams in common: those that meet are linked, however few they are."""
+    rng = random.Random(4)
+    rows, pairs = [], []
+    for k in range(300):
+        a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80))
+        b = "".join(rng.choice("0123456789") if i % 12 == 0 else c for i, c in enumerate(a))
+        x, y = ({t[i : i + 5] for i in range(76)} for t in (a, b))
+        assert plain_similarity(a, b) >= 0.8 and len(x & y) < 0.45 * len(x | y)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        pairs.append(2 * k + 1)
+    gone = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), grams=True).where("n_removed_lines = 1").collect()}
+    assert gone <= set(pairs) and len(gone) >= 0.25 * len(pairs)
