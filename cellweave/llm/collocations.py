@@ -10,7 +10,7 @@ fixed number of bits, and a last pass counts exactly, as text, what every summar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,11 +130,62 @@ def _summarised(capacity: int, threshold: int):
     return run
 
 
+class Phrases:
+    """Sums of counts by phrase within a task, told apart by two hashes; a phrase becomes text once, when it is new.
+
+    At most about `most` phrases are held; beyond that, partial sums go out.
+    """
+
+    def __init__(self, most: int = 1 << 19):
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        none = np.empty(0, np.int64)
+        self.h, self.other, self.counts = none.view(np.uint64), none.view(np.uint64), none
+        self.rows, self.fresh, self.size = None, [], 0
+
+    def add(self, h: np.ndarray, other: np.ndarray, counts: np.ndarray, rows: Callable[[np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct (h, other) with their counts; rows(which) gives the (lang, phrase, size) of those that are not held."""
+        at = np.searchsorted(self.h, h)
+        held = at < len(self.h)
+        held[held] = (self.h[at[held]] == h[held]) & (self.other[at[held]] == other[held])
+        self.counts[at[held]] += counts[held]
+        new = np.flatnonzero(~held)
+        if len(new):
+            self.fresh.append((h[new], other[new], counts[new], rows(new)))
+            self.size += len(new)
+        if self.size > self.most // 4:
+            self._merge()
+            if len(self.h) > self.most:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        kept = [(self.h, self.other, self.counts, self.rows)] if len(self.h) else []
+        h, other, counts, rows = zip(*kept, *self.fresh, strict=True)
+        h, other, counts = np.concatenate(h), np.concatenate(other), np.concatenate(counts)
+        order = np.lexsort((other, h))
+        begin = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])))
+        head = order[begin]
+        self.h, self.other, self.counts = h[head], other[head], np.add.reduceat(counts[order], begin)
+        self.rows = pa.Table.from_batches(rows).combine_chunks().take(pa.array(head)).combine_chunks().to_batches()[0]
+        self.fresh, self.size = [], 0
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.fresh:
+            self._merge()
+        for at in range(0, len(self.h), 1 << 16):
+            part = self.rows.slice(at, 1 << 16)
+            yield pa.record_batch([*part.columns, pa.array(self.counts[at : at + (1 << 16)])], ["lang", "phrase", "size", "f"])
+        self._clear()
+
+
 def _exact(filters):
     """mapInArrow function from (lang, text) to (lang, phrase, size, f): occurrences of all n-grams that survived, with
     those of all words of a language under a null phrase of size 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases()
         for batch in batches:
             langs, lang_of, names = C.of_values(batch.column(0), UNKNOWN)
             named = lambda number, names=names: pa.DictionaryArray.from_arrays(pa.array(number.astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
@@ -163,9 +214,13 @@ def _exact(filters):
                     order = np.argsort(h, kind="stable")
                     new = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])))
                     head = at[order[new]]
-                    phrase = C.strings(joined, begin[head], stop[head + n - 1])
-                    counts = np.diff(np.append(new, len(order)))
-                    yield pa.record_batch([named(lang_of[lo + row[head]]), phrase, pa.array(np.full(len(head), n, np.int32)), pa.array(counts)], ["lang", "phrase", "size", "f"])
+
+                    def texts(which, head=head, n=n, lo=lo, row=row, joined=joined, begin=begin, stop=stop, lang_of=lang_of, named=named):
+                        of = head[which]
+                        return pa.record_batch([named(lang_of[lo + row[of]]), C.strings(joined, begin[of], stop[of + n - 1]), pa.array(np.full(len(of), n, np.int32))], ["lang", "phrase", "size"])
+
+                    yield from phrases.add(h[order[new]], other[order[new]], np.diff(np.append(new, len(order))), texts)
+        yield from phrases.rest()
 
     return run
 

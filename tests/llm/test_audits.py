@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -112,6 +113,30 @@ def test_collocations_of_nothing_and_of_one_very_long_text(spark):
     assert sorted(map(tuple, got.collect())) == collocated(docs, 100, 2000) != []
 
 
+class Everything:
+    value = [type("", (), {"has": staticmethod(lambda h: np.ones(len(h), bool))})] * collocations.LONGEST
+
+
+@pytest.mark.parametrize("most", [1 << 19, 40])
+def test_a_task_gives_each_phrase_once(monkeypatch, most):
+    """However many slices its texts take; with room for few phrases, partial sums that add up."""
+    monkeypatch.setattr(counting, "SLICE_BYTES", 60)
+    monkeypatch.setattr(collocations.Phrases.__init__, "__defaults__", (most,))
+    rng = random.Random(6)
+    rows = [(rng.choice(["en", "de", None]), " ".join(rng.choices("ab bc c Ab größe".split(), k=rng.randint(0, 9)))) for _ in range(200)]
+    batches = [pa.record_batch([pa.array(x, pa.string()) for x in zip(*part, strict=True)], ["lang", "text"]) for part in (rows[:90], rows[90:])]
+    got = [(r["lang"], r["phrase"], r["size"], r["f"]) for b in collocations._exact(Everything)(iter(batches)) for r in b.to_pylist() if r["size"]]
+    want = Counter()
+    for lang, text in rows:
+        w = lowered(text).split()
+        want.update((lang or "und", " ".join(w[i : i + n]), n) for n in range(1, 6) for i in range(len(w) - n + 1))
+    sums = Counter()
+    for lang, phrase, size, f in got:
+        sums[lang, phrase, size] += f
+    assert sums == want
+    assert most == 40 or len(got) == len(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=30), max_size=6), st.integers(1, 8), st.integers(1, 12))
 def test_summaries_keep_every_frequent_key(batches, capacity, threshold):
