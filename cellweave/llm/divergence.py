@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +47,18 @@ def _hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: np.n
     return h & ~np.uint64(1) | whole.astype(np.uint64)
 
 
+def _documents(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the number of distinct rows of each; rows rise."""
+    order = np.argsort(h)
+    h, row = h[order], row[order]
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+    pair = group * (int(row.max()) + 1 if len(row) else 1) + row
+    pair.sort()
+    new = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+    return h[begin], np.add.reduceat(new.astype(np.int64), begin) if len(begin) else begin
+
+
 def _level(level: int, before: int, open_prefixes):
     """mapInArrow function from (lang, text) to (h, n): documents of each prefix of `level` bytes, among the terms that
     are longer than `before` bytes and whose prefix of that length is left."""
@@ -61,25 +74,75 @@ def _level(level: int, before: int, open_prefixes):
                     at = np.flatnonzero(ends - starts > before)
                     at = at[open_prefixes.value.has(_hashes(prefix, starts[at], ends[at], lang[at], before))]
                     starts, ends, lang, row = starts[at], ends[at], lang[at], row[at]
-                h = _hashes(prefix, starts, ends, lang, level)
-                order = np.argsort(h, kind="stable")  # rows rise within equal hashes
-                h, row = h[order], row[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.empty(0, bool)
-                keys, n = np.unique(h[new], return_counts=True)
-                yield from tally.add(keys, n.astype(np.int64))
+                yield from tally.add(*_documents(_hashes(prefix, starts, ends, lang, level), row))
         yield from tally.rest()
 
     return run
 
 
+class Terms:
+    """Counts by (language, term, source) within a task; rest() gives them, one row for each language and term.
+
+    Terms are told apart by two hashes with the language in both. At most about `most` counts are held.
+    """
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.sources, self.held = most, {}, 0
+        self.parts: list = []
+        self.rows: list[pa.RecordBatch] = []
+
+    def add(self, h: np.ndarray, other: np.ndarray, source: np.ndarray, n: np.ndarray, docs: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Counts by distinct (h, other, source); rows has (lang, term) of each."""
+        self.parts.append((h, other, source, n, docs))
+        self.rows.append(rows)
+        self.held += len(h)
+        if self.held > self.most:
+            self._merge()
+            if self.held > self.most // 2:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        h, other, source, n, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((source, other, h))
+        differs = np.zeros(len(order) - 1, bool)
+        for x in (h, other, source):
+            differs |= x[order][1:] != x[order][:-1]
+        begin = np.flatnonzero(np.append(True, differs))
+        head = order[begin]
+        self.parts = [(h[head], other[head], source[head], np.add.reduceat(n[order], begin), np.add.reduceat(docs[order], begin))]
+        self.rows = pa.Table.from_batches(self.rows).combine_chunks().take(pa.array(head)).combine_chunks().to_batches()
+        self.held = len(head)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            h, other, source, n, docs = self.parts[0]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (other[1:] != other[:-1])))
+            names = pa.array(list(self.sources), pa.string())
+            for at in range(0, len(first), 1 << 13):
+                lo = first[at : at + (1 << 13)]
+                hi = int(first[at + (1 << 13)]) if at + (1 << 13) < len(first) else len(h)
+                offsets = pa.array(np.append(lo, hi).astype(np.int32) - np.int32(lo[0]))
+                own = self.rows[0].take(pa.array(lo))
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (names.take(pa.array(source[lo[0] : hi])), pa.array(n[lo[0] : hi]), pa.array(docs[lo[0] : hi]))]
+                yield pa.record_batch([*own.columns, *lists], ["lang", "term", "sources", "n", "docs"])
+        self.parts, self.rows, self.held = [], [], 0
+
+
+def _numbers(values: list[str], known: dict[str, int]) -> np.ndarray:
+    """A number for each value, new ones in order."""
+    return np.array([known.setdefault(v, len(known)) for v in values], np.int64)
+
+
 def _counted(complete, level: int):
-    """mapInArrow function from (lang, source, text) to (lang, source, term, n, docs) of the terms that may be kept."""
+    """mapInArrow function from (lang, source, text) to (lang, term, sources, n, docs) of the terms that may be kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
         for batch in batches:
             langs, lang_of, lang_names = C.of_values(batch.column(0), "")
             _, source_of, source_names = C.of_values(batch.column(1), "")
-            pair = lang_of * max(1, len(source_names)) + source_of
+            source_of = _numbers(source_names, terms.sources)[source_of] if len(source_names) else source_of
             for lo, _, data, offsets in K.text_slices(batch.column(2), C.SLICE_BYTES):
                 data, starts, ends, row = _terms(data, offsets)
                 prefix = K.rolling(K.BYTE_MIX[data])
@@ -90,26 +153,48 @@ def _counted(complete, level: int):
                 if not len(at):
                     continue
                 starts, ends, row = starts[at], ends[at], row[at]
-                group = pair[lo + row]
-                h = K.mix(h ^ group.astype(np.uint64) * K.MULTIPLIER)
-                check = K.hash_spans(data, starts, ends, C.OTHER_MIX)
-                order = np.argsort(h, kind="stable")
+                source = source_of[lo + row]
+                check = K.mix(K.hash_spans(data, starts, ends, C.OTHER_MIX) ^ langs[lo + row])
+                key = K.mix(h ^ source.astype(np.uint64) * K.MULTIPLIER)
+                order = np.argsort(key, kind="stable")  # rows rise within equal keys
                 differs = lambda x, o=order: x[o][1:] != x[o][:-1]
-                new = np.append(True, differs(h) | differs(check))
+                new = np.append(True, differs(key) | differs(check) | differs(source))
                 begin = np.flatnonzero(new)
                 n = np.diff(np.append(begin, len(order)))
                 docs = np.add.reduceat((new | np.append(True, differs(row))).astype(np.int64), begin)
                 head = order[begin]
-                named = lambda names, number: pa.DictionaryArray.from_arrays(pa.array(number.astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
-                of = lo + row[head]
-                yield pa.record_batch(
-                    [named(lang_names, lang_of[of]), named(source_names, source_of[of]), C.strings(data, starts[head], ends[head]), pa.array(n.astype(np.int64)), pa.array(docs)],
-                    ["lang", "source", "term", "n", "docs"],
-                )
+                lang = pa.DictionaryArray.from_arrays(pa.array(lang_of[lo + row[head]].astype(np.int32)), pa.array(lang_names, pa.string())).cast(pa.string())
+                rows = pa.record_batch([lang, C.strings(data, starts[head], ends[head])], ["lang", "term"])
+                yield from terms.add(h[head], check[head], source[head], n.astype(np.int64), docs, rows)
+        yield from terms.rest()
 
     return run
 
 
+def _by_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function that adds up the rows of _counted() by (lang, source, term), as far as a task meets them."""
+    held, size = [], 0
+
+    def out():
+        table = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+        return table.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
+
+    for batch in batches:
+        of = batch.column(2)
+        row = pc.list_parent_indices(of)
+        names = [batch.column(0).take(row), pc.list_flatten(of), batch.column(1).take(row), pc.list_flatten(batch.column(3)), pc.list_flatten(batch.column(4))]
+        held.append(pa.table(names, ["lang", "source", "term", "n", "docs"]))
+        size += len(row)
+        if size > 1 << 20:
+            held = [out()]
+            size = held[0].num_rows
+            if size > 1 << 19:
+                yield from held[0].to_batches(1 << 16)
+                held, size = [], 0
+    if held:
+        yield from out().to_batches(1 << 16)
+
+
 def kept_counts(docs: DataFrame, least_docs: int = 30, filter_bits: int = 26, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(lang, source, term, n): occurrences, over 0, of each term that is in at least least_docs documents of its language.
 
@@ -130,7 +215,8 @@ def kept_counts(docs: DataFrame, least_docs: int = 30, filter_bits: int = 26, la
             break
         left, before, level = context.broadcast(going_on), level, 2 * level
     given = context.broadcast(complete)
-    counts = rows.mapInArrow(_counted(given, level), "lang string, source string, term string, n long, docs long")
+    counts = rows.mapInArrow(_counted(given, level), "lang string, term string, sources array<string>, n array<long>, docs array<long>")
+    counts = counts.repartition("lang", "term").mapInArrow(_by_source, "lang string, source string, term string, n long, docs long")
     counts = shared.cut(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
     return shared.cut(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]))

@@ -74,6 +74,28 @@ def test_divergence_of_nothing_and_of_very_long_texts(spark):
     assert sorted(map(tuple, got.collect())) == divergences(docs, 2, 50)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 50])
+def test_a_task_gives_each_term_once(monkeypatch, most):
+    """One row a language and term with the counts of all its sources, however many slices the texts take."""
+    monkeypatch.setattr(counting, "SLICE_BYTES", 60)
+    monkeypatch.setattr(divergence.Terms.__init__, "__defaults__", (most,))
+    rng = random.Random(7)
+    rows = [(rng.choice(["en", "de", None]), rng.choice("xyz"), " ".join(rng.choices("ab bc c Ab größe".split(), k=rng.randint(0, 9)))) for _ in range(200)]
+    batches = [pa.record_batch([pa.array(x, pa.string()) for x in zip(*part, strict=True)], ["lang", "source", "text"]) for part in (rows[:90], rows[90:])]
+    everything = type("", (), {"value": type("", (), {"has": staticmethod(lambda h: np.ones(len(h), bool))})})
+    out = list(divergence._counted(everything, 64)(iter(batches)))
+    want, docs = Counter(), Counter()
+    for lang, source, text in rows:
+        want.update((lang or "", source, w) for w in lowered(text).split())
+        docs.update((lang or "", source, w) for w in set(lowered(text).split()))
+    n, d = Counter(), Counter()
+    for r in (r for b in divergence._by_source(iter(out)) for r in b.to_pylist()):
+        n[r["lang"], r["source"], r["term"]] += r["n"]
+        d[r["lang"], r["source"], r["term"]] += r["docs"]
+    assert n == want and d == docs
+    assert most == 50 or sum(b.num_rows for b in out) == len({(lang, w) for lang, _, w in want})
+
+
 def collocated(docs, least, top):
     counts, totals = defaultdict(Counter), Counter()
     for _, text, lang, _, _ in docs:
