@@ -96,14 +96,14 @@ class Terms:
         self.parts.append((h, other, source, n, docs))
         self.rows.append(rows)
         self.held += len(h)
-        if self.held > self.most:
+        if self.held - len(self.parts[0][0]) > self.most // 4:
             self._merge()
-            if self.held > self.most // 2:
+            if self.held > self.most * 3 // 4:
                 yield from self.rest()
 
     def _merge(self) -> None:
         h, other, source, n, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((source, other, h))
+        order = np.argsort(K.mix(h ^ source.astype(np.uint64) * K.MULTIPLIER))
         differs = np.zeros(len(order) - 1, bool)
         for x in (h, other, source):
             differs |= x[order][1:] != x[order][:-1]
@@ -116,14 +116,15 @@ class Terms:
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             self._merge()
-            h, other, source, n, docs = self.parts[0]
+            order = np.lexsort((self.parts[0][1], self.parts[0][0]))
+            h, other, source, n, docs = (x[order] for x in self.parts[0])
             first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (other[1:] != other[:-1])))
             names = pa.array(list(self.sources), pa.string())
             for at in range(0, len(first), 1 << 13):
                 lo = first[at : at + (1 << 13)]
                 hi = int(first[at + (1 << 13)]) if at + (1 << 13) < len(first) else len(h)
                 offsets = pa.array(np.append(lo, hi).astype(np.int32) - np.int32(lo[0]))
-                own = self.rows[0].take(pa.array(lo))
+                own = self.rows[0].take(pa.array(order[lo]))
                 lists = [pa.ListArray.from_arrays(offsets, x) for x in (names.take(pa.array(source[lo[0] : hi])), pa.array(n[lo[0] : hi]), pa.array(docs[lo[0] : hi]))]
                 yield pa.record_batch([*own.columns, *lists], ["lang", "term", "sources", "n", "docs"])
         self.parts, self.rows, self.held = [], [], 0
