@@ -70,6 +70,7 @@ class Model:
     prior: np.ndarray
 
 
+@K.releasing
 def count_batches(batches):
     """mapInArrow function from (lang, text) to (lang, bucket, n); bucket -1 counts documents."""
     counts: dict[str, np.ndarray] = {}

@@ -306,7 +306,7 @@ def line_batches(least_words: int, grams: bool):
                 own = [batch.column(k).slice(lo, hi - lo) for k in range(3)]
                 yield pa.record_batch(own + columns, ["file", "row", "doc", *[f for f, _ in FIELDS]])
 
-    return run
+    return K.releasing(run)
 
 
 def _normal(data: np.ndarray, a: int, b: int) -> str:
@@ -328,7 +328,7 @@ def wanted_batches(bitmap, least_words: int):
                 lines = pa.array([_normal(data, a, b) for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)], pa.string())
                 yield pa.record_batch([pa.array(ids[at]), pa.array(checks[at]), lines], ["id", "check", "line"])
 
-    return run
+    return K.releasing(run)
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -348,7 +348,7 @@ def _verify_pairs(least: float):
             keep = pa.array(similar_pairs(x.to_pylist(), y.to_pylist(), least), pa.bool_())
             yield pa.record_batch([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    return run
+    return K.releasing(run)
 
 
 def _verify_groups(bits: int, least: float):
@@ -386,7 +386,7 @@ def _verify_groups(bits: int, least: float):
         out += links(*group, known)
         yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return run
+    return K.releasing(run)
 
 
 def _groups(table: DataFrame, texts: DataFrame, least_words: int, similarity: float, grams: bool) -> DataFrame:
@@ -398,7 +398,7 @@ def _groups(table: DataFrame, texts: DataFrame, least_words: int, similarity: fl
 
     each = table.select(F.explode(F.arrays_zip(F.transform("fresh", lambda no: F.get("ids", no)).alias("id"), F.col("prints").alias("fp"), "keys")).alias("line")).select("line.*")
     keyed = each.select(F.explode("keys").alias("key"), "fp", "id").repartition("key").sortWithinPartitions("key", "id")
-    met = shared.cut(keyed.mapInArrow(run, shared.LINKS), large=True)
+    met = shared.cut(keyed.mapInArrow(K.releasing(run), shared.LINKS), large=True)
     pairs = met.where("key is null").select("a", "b").distinct()
     crowd = met.where("key is not null").select("key", F.col("b").alias("fp"), F.col("a").alias("id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd.select("id"))

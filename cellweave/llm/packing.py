@@ -127,10 +127,11 @@ def pack_batches(path: str, end_id: int, size: int, sentence_penalty: float, inn
                 if held >= segment:
                     yield flush()
                     parts, held = [], 0
+                    K.release()
         if parts:
             yield flush()
 
-    return run
+    return K.releasing(run)
 
 
 _tokens: dict[str, WordTokens] = {}

@@ -93,7 +93,7 @@ def fingerprint_batches(shingle: int):
             fp = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(fp)], ["id", "fp"])
 
-    return run
+    return K.releasing(run)
 
 
 def anchor_batches(batches):

@@ -14,7 +14,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat_format, decontaminate, labels, language_id, license_scan, packing, quality_rank, quality_rules, queries, toxicity
+from cellweave.llm import chat_format, decontaminate, kernels, labels, language_id, license_scan, line_dedup, packing, quality_rank, quality_rules, queries, simhash_dedup, toxicity
 from tests.oracle import compare
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -547,3 +547,25 @@ as published by the Free Software Foundation; {}"""
     assert [(k, got[k].license) for k in range(len(texts))] == [(k, want) for k, (_, want) in enumerate(texts)]
     assert got[100].sentence_ids == "MIT_SPDX>Apache-2.0_SPDX" and got[101].sentence_ids == "BSD-3-Clause_SPDX>GPL-2.0_SPDX>ISC_SPDX"
     assert got[101].license == "GPL-2.0" and got[102].license == "none"
+
+
+def test_tasks_of_the_pipeline_give_memory_back(monkeypatch):
+    """Spark keeps a Python worker after a task: what it has freed must not stay with it."""
+    import public_tokenizers
+
+    given = []
+    monkeypatch.setattr(kernels, "release", lambda: given.append(1))
+    texts = pa.array(["some words of a text", None, "others"])
+    ids = pa.array([1, 2, 3])
+    runs = [
+        (packing.pack_batches(public_tokenizers.path("word_bpe_49k.json"), 1, 2048, 2.0, 6.0, 4), [ids, texts, ids]),
+        (language_id.count_batches, [pa.array(["en", "de", "en"]), texts]),
+        (line_dedup.line_batches(1, True), [ids, ids, ids, texts]),
+        (simhash_dedup.fingerprint_batches(4), [ids, texts]),
+    ]
+    for run, columns in runs:
+        before = len(given)
+        assert list(run(iter([pa.record_batch(columns, [f"c{k}" for k in range(len(columns))])])))
+        assert len(given) > before
+    monkeypatch.undo()
+    kernels.release()
