@@ -46,7 +46,7 @@ SHORT, SHORT_BITS = ((96, 24), (192, 12), (1 << 62, 6)), 52
 SHORT_PRINT = 192
 #: Slots of a task's memory of lines whose keys it has given; a line that it forgets gives its keys again.
 SLOTS = 1 << 18
-#: Entries of the table of symbols of the pieces of lines whose distances are taken together.
+#: Entries of the table of symbols of 64 rows of the lines whose distances are taken together.
 BATCH = 1 << 17
 _CHECK = np.uint64(0x5851F42D4C957F2D)
 _FACTORS = np.random.default_rng(64).integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -133,73 +133,159 @@ def similar(a: str, b: str, least: float, least_common: float = 0.0) -> bool:
     return edit_distance(a, b) <= most
 
 
-def _least_edits(pattern: np.ndarray, m: np.ndarray, text: np.ndarray, n: np.ndarray, symbols: int) -> np.ndarray:
-    """Of each pattern, of at most 64 symbols, the least edit distance to any run of its text, bit-parallel over all at once.
+def _deltas(same: np.ndarray, text: np.ndarray, plus_in: np.ndarray, minus_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where 64 rows of edit distances rise and fall from column to column, a bit for each row, in many tables at once.
 
-    Both hold symbols (under `symbols`) end to end; the lengths n rise.
+    text has a row for each column and tells in `same` which rows of the table hold its symbol; plus_in and minus_in tell
+    where the row above rises and falls.
     """
-    size, width, one = len(m), symbols + 1, np.uint64(1)
-    same = np.zeros(size * width, np.uint64)
-    np.add.at(same, np.repeat(np.arange(size) * width, m) + pattern, one << K.positions(m)[1].astype(np.uint64))
-    column = np.full((int(n[-1]), size), symbols, np.int64)
-    column[K.positions(n)[1], np.repeat(np.arange(size), n)] = text
-    column += np.arange(size) * width
-    up, down, score, last = np.full(size, ~np.uint64(0)), np.zeros(size, np.uint64), m.astype(np.int64), (m - 1).astype(np.uint64)
-    least, begin = score.copy(), np.searchsorted(n, np.arange(len(column)), "right")
-    for j, at in enumerate(begin.tolist()):
-        p, d = up[at:], down[at:]
-        eq = same[column[j, at:]]
-        x = (((eq & p) + p) ^ p) | eq
-        eq |= d
-        plus, minus = d | ~(x | p), p & x
-        score[at:] += (plus >> last[at:] & one).astype(np.int64)
-        score[at:] -= (minus >> last[at:] & one).astype(np.int64)
-        np.minimum(least[at:], score[at:], out=least[at:])
-        plus, minus = plus << one, minus << one
-        up[at:], down[at:] = minus | ~(eq | plus), plus & eq
-    return least
-
-
-def least_distances(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """Lower bounds of the edit distances of pairs, which hold where a distance is at most `most`.
-
-    Each 64 characters of a line stand, in the other one, at most `most` from their own place; their least distances to
-    any run there add up.
+    size = text.shape[1]
+    plus, minus, one = np.empty(text.shape, np.uint64), np.empty(text.shape, np.uint64), np.uint64(1)
+    up, down = np.full(size, ~np.uint64(0)), np.zeros(size, np.uint64)
+    eq, x, y = (np.empty(size, np.uint64) for _ in range(3))
+    for t, p, d, p_in, d_in in zip(text, plus, minus, plus_in, minus_in, strict=True):
+        same.take(t, out=eq, mode="clip")
+        np.bitwise_or(eq, down, out=y)
+        eq |= d_in
+        np.bitwise_and(eq, up, out=x)
+        x += up
+        x ^= up
+        x |= eq
+        np.bitwise_and(up, x, out=d)
+        x |= up
+        np.invert(x, out=x)
+        np.bitwise_or(down, x, out=p)
+        np.left_shift(p, one, out=x)
+        x |= p_in
+        np.bitwise_and(x, y, out=down)
+        x |= y
+        np.invert(x, out=x)
+        np.left_shift(d, one, out=up)
+        up |= d_in
+        up |= x
+    return plus, minus
+
+
+def _far_apart(codes: np.ndarray, begin: np.ndarray, m: np.ndarray, n: np.ndarray, most: np.ndarray, symbols: int) -> np.ndarray:
+    """Of some pairs of _band_within()'s form, whose distance is over `most`, that it is.
+
+    Each 64 symbols of a line stand, in the other one, at most `most` from their own place, or the distance is larger
+    anyway; the least distances of every second 64 to any run there add up to no more than the whole distance.
     """
-    size = np.array([[len(x) for x in a], [len(x) for x in b]], np.int64)
+    width, total = symbols + 1, np.zeros(len(m), np.int64)
+    parts = (m // 64 + 1) // 2
+    pair, place = np.repeat(np.arange(len(m)), parts), K.positions(parts)[1] * 128
+    lo = np.maximum(place - most[pair], 0)
+    w = np.minimum(place + 64 + most[pair], n[pair]) - lo
+    order = np.argsort(w, kind="stable")
+    while len(order):
+        now = order[: min(1024, max(1, BATCH // width))]
+        now = now[: max(1, int(np.count_nonzero(w[now] * np.arange(1, len(now) + 1) <= 16 * BATCH)))]
+        order = order[len(now) :]
+        lane, of = np.arange(len(now)), pair[now]
+        row = np.tile(np.arange(64), len(now))
+        same = np.zeros(len(now) * width, np.uint64)
+        np.add.at(same, np.repeat(lane * width, 64) + codes[np.repeat(begin[0, of] + place[now], 64) + row], np.uint64(1) << row.astype(np.uint64))
+        text = np.full((int(w[now].max()), len(now)), symbols, np.int64)
+        at = K.positions(w[now])[1]
+        text[at, np.repeat(lane, w[now])] = codes[np.repeat(begin[1, of] + lo[now], w[now]) + at]
+        text += lane * width
+        none = np.broadcast_to(np.uint64(0), text.shape)
+        step, fall = (np.right_shift(bits, np.uint64(63), out=bits).astype(np.int8) for bits in _deltas(same, text, none, none))
+        step -= fall
+        np.add.at(total, of, 64 + np.minimum(np.cumsum(step, axis=0, dtype=np.int8).min(0), 0))
+    return total > most
+
+
+def _band_within(codes: np.ndarray, begin: np.ndarray, m: np.ndarray, n: np.ndarray, most: np.ndarray, symbols: int) -> np.ndarray:
+    """Whether the edit distances of pairs are at most `most`, bit-parallel over all pairs and 64 rows at once (Hyyrö, 2003).
+
+    codes holds all lines' symbols (under `symbols`), those of the two of a pair from begin[0] and begin[1]; their lengths
+    m and n, 1 at least, differ by at most `most`. Only cells up to the largest `most` from the diagonal are visited, 64
+    rows after 64 rows; cells at the border are taken for at least what they are. A pair is left when all cells of its last
+    row are over its `most`. Behind the end of a text stands a symbol that no line has, from which no cell gets less.
+    """
+    width, reach, one, done = symbols + 1, int(most.max()), np.uint64(1), 0
+    out, live, lane = np.zeros(len(m), bool), np.arange(len(m)), np.arange(len(m))
+    text = np.full((int(n.max()), len(m)), symbols, np.int64)
+    text[K.positions(n)[1], np.repeat(lane, n)] = codes[np.repeat(begin[1], n) + K.positions(n)[1]]
+    text += lane * width
+    corner, before, plus, minus = np.zeros(len(m), np.int64), 0, None, None
+    while len(live):
+        lo, hi = max(0, done - reach), min(len(text), done + 64 + reach)
+        rows = np.clip(m[live] - done, 1, 64)
+        row = K.positions(rows)[1]
+        same = np.zeros(len(live) * width, np.uint64)
+        np.add.at(same, np.repeat(lane * width, rows) + codes[np.repeat(begin[0, live] + done, rows) + row], one << row.astype(np.uint64))
+        plus_in, minus_in = np.ones((hi - lo, len(live)), np.uint64), np.zeros((hi - lo, len(live)), np.uint64)
+        if plus is not None:
+            known = len(plus) - (lo - before)
+            plus_in[:known], minus_in[:known] = plus[lo - before :], minus[lo - before :]
+        plus, minus = _deltas(same, text[lo:hi], plus_in, minus_in)
+        last = (rows - 1).astype(np.uint64)
+        for bits in (plus, minus):
+            bits >>= last
+            bits &= one
+        step = plus.astype(np.int8)
+        step -= minus.astype(np.int8)
+        cells = np.cumsum(step, axis=0, dtype=np.int32)
+        first = corner + rows  # where this row begins, before its first column
+        ends = np.flatnonzero(m[live] <= done + 64)
+        out[live[ends]] = first[ends] + cells[n[live[ends]] - 1 - lo, ends] <= most[live[ends]]
+        least = first + np.minimum(cells.min(0), 0)
+        done, before = done + 64, lo
+        shift = min(max(0, done - reach) - lo, len(cells))  # less only when no pair is left
+        corner = first + (cells[shift - 1] if shift else 0)
+        stay = (m[live] > done) & (least <= most[live])
+        if not stay.all():
+            live, corner, plus, minus = live[stay], corner[stay], plus[:, stay], minus[:, stay]
+            text = text[:, stay] - (lane[stay] - np.arange(len(live))) * width
+            lane = np.arange(len(live))
+    return out
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each two lines is at most `most`."""
+    size = np.array([[len(x) for x in a], [len(x) for x in b]], np.int64).reshape(2, -1)
+    out = size.max(0, initial=0) <= most
+    order = np.flatnonzero(~out & (size.min(0) > 0) & (np.abs(size[0] - size[1]) <= most))
+    if not len(order):
+        return out
     codes = np.frombuffer("".join([*a, *b]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.flatnonzero(np.bincount(codes, minlength=1))
+    symbols = np.flatnonzero(np.bincount(codes))
     rank = np.zeros(int(symbols[-1]) + 1, np.int64)
     rank[symbols] = np.arange(len(symbols))
     codes, begin = rank[codes], (np.cumsum(size.ravel()) - size.ravel()).reshape(2, -1)
-    parts = -(-size[0] // 64)
-    pair, place = np.repeat(np.arange(len(a)), parts), K.positions(parts)[1] * 64
-    end, reach = np.minimum(place + 64, size[0, pair]), most[pair]
-    lo, hi = np.minimum(np.maximum(place - reach, 0), size[1, pair]), np.minimum(end + reach, size[1, pair])
-    order, out = np.argsort(hi - lo, kind="stable"), np.zeros(len(a), np.int64)
-    run = lambda first, n: codes[np.repeat(first, n) + K.positions(n)[1]]
-    while len(order):
-        now = order[: max(1, BATCH // (len(symbols) + 1))]
-        now = now[: max(1, 32 * BATCH // int((hi - lo)[now[-1]] + 1))]  # as long as their runs, which rise, fit
+    longest = size.max(0)
+    if len(long := order[size[0, order] >= 512]):
+        order = np.setdiff1d(order, long[_far_apart(codes, begin[:, long], size[0, long], size[1, long], most[long], len(symbols))])
+    order = order[np.argsort(longest[order], kind="stable")]
+    while len(order):  # lines of about one length, as many as fit
+        now = order[: max(1, min(1024, BATCH // len(symbols)))]
+        now = now[: int(np.searchsorted(longest[now], max(64, longest[now[0]] * 5 // 4), "right"))]
+        now = now[: max(1, 32 * BATCH // int(longest[now[-1]]))]
         order = order[len(now) :]
-        of, m, n = pair[now], (end - place)[now], (hi - lo)[now]
-        np.add.at(out, of, _least_edits(run(begin[0, of] + place[now], m), m, run(begin[1, of] + lo[now], n), n, len(symbols)))
+        n, band = int(longest[now[-1]]), 64 + 2 * int(most[now].max())
+        # Microseconds that both ways take; few or very long lines are compared one by one.
+        if len(now) * n * (1.5 + n / 5000) < (n // 64 + 1) * min(n, band) * (9 + len(now) / 64):
+            out[now] = [edit_distance(a[i], b[i]) <= most[i] for i in now.tolist()]
+        else:
+            out[now] = _band_within(codes, begin[:, now], size[0, now], size[1, now], most[now], len(symbols))
     return out
 
 
 def similar_pairs(a: list[str], b: list[str], least: float) -> list[bool]:
-    """similar() of each two lines; pairs that are far apart are told by a bound that is taken for all of them at once."""
+    """similar() of each two lines; those that no alignment of words shows to be close are compared many at once."""
     most = [int((1 - least) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
     out = [abs(len(x) - len(y)) <= k for x, y, k in zip(a, b, most, strict=True)]
     unsure = []
     for i in (i for i, near in enumerate(out) if near):
         if not _close_words(a[i].split(" "), b[i].split(" "), most[i]):
             unsure.append(i)
-    for at in range(0, len(unsure), 2048):
-        now = unsure[at : at + 2048]
-        far = least_distances([a[i] for i in now], [b[i] for i in now], np.array([most[i] for i in now], np.int64))
-        for i, bound in zip(now, far.tolist(), strict=True):
-            out[i] = bound <= most[i] and edit_distance(a[i], b[i]) <= most[i]
+    for at in range(0, len(unsure), 1 << 13):
+        now = unsure[at : at + (1 << 13)]
+        for i, near in zip(now, within([a[i] for i in now], [b[i] for i in now], np.array([most[i] for i in now], np.int64)).tolist(), strict=True):
+            out[i] = near
     return out
 
 
@@ -351,40 +437,62 @@ def _verify_pairs(least: float):
     return K.releasing(run)
 
 
-def _verify_groups(bits: int, least: float):
+def _verify_groups(bits: int, least: float, most_rows: int = 1 << 14):
     """mapInArrow function from (near, key, fp, id, line), sorted by near and key, to links that span each group's connected parts.
 
-    Groups that are likely to have members in common have one `near`; a pair of lines is compared once under it.
+    Groups that are likely to have members in common have one `near`. The groups of about most_rows rows grow their parts
+    side by side, so that many lines are compared at once, and a pair of lines once.
     """
 
-    def links(fp, ids, text, known):
-        prints = np.array(fp, np.int64).view(np.uint64)
-
-        def near(i, rest):
-            hit = np.bitwise_count(prints[rest] ^ prints[i]) <= bits
-            pairs = {(min(ids[i], ids[k]), max(ids[i], ids[k])): k for k in rest[hit].tolist()}
-            new = [p for p in pairs if p not in known]
-            known.update(zip(new, similar_pairs([text[i]] * len(new), [text[pairs[p]] for p in new], least), strict=True))
-            hit[hit] = [known[p] for p in pairs]
-            return hit
-
-        return [(min(ids[p], ids[q]), max(ids[p], ids[q])) for p, q in shared.spread(len(ids), near)]
+    def parts(prints, ids):
+        """Asks for pairs (ids, ids) to compare, gets whether they are linked, and at last returns links that span the group's parts.
+
+        Members go in turn, each against all later ones that it is not connected with yet: as many at once as seldom find any.
+        """
+        root, out, at, step = np.arange(len(ids)), [], 0, 1
+        while at < len(ids) - 1:
+            now = [(i, i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= bits))) for i in range(at, min(at + step, len(ids) - 1))]
+            pairs = [(i, k) for i, rest in now for k in rest.tolist()]
+            at += step
+            if pairs:
+                hit = yield [(min(ids[i], ids[k]), max(ids[i], ids[k])) for i, k in pairs]
+                linked = [p for p, near in zip(pairs, hit, strict=True) if near]
+                for i, k in linked:
+                    if root[i] != root[k]:
+                        out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                        root[root == root[k]] = root[i]
+                step = min(2 * step, 64) if 8 * len(linked) <= len(pairs) else 1
+        return out
+
+    def links(groups):
+        text = {i: line for _, ids, lines in groups for i, line in zip(ids, lines, strict=True)}
+        known, out, waiting = {}, [], [(parts(np.array(fp, np.int64).view(np.uint64), ids), None) for fp, ids, _ in groups]
+        while waiting:
+            asked = []
+            for group, hit in waiting:
+                try:
+                    asked.append((group, group.send(hit)))
+                except StopIteration as end:
+                    out += end.value
+            new = list(dict.fromkeys(p for _, pairs in asked for p in pairs if p not in known))
+            known.update(zip(new, similar_pairs([text[x] for x, _ in new], [text[y] for _, y in new], least), strict=True))
+            waiting = [(group, [known[p] for p in pairs]) for group, pairs in asked]
+        return pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
-        now, group, known, out = (None, None), ([], [], []), {}, []
+        now, groups, held = None, [], 0
         for batch in batches:
             for near, key, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if (near, key) != now:
-                    out += links(*group, known)
-                    known = known if near == now[0] else {}
-                    now, group = (near, key), ([], [], [])
-                for column, value in zip(group, row, strict=True):
+                    if held >= most_rows:
+                        yield links(groups)
+                        groups, held = [], 0
+                    now = (near, key)
+                    groups.append(([], [], []))
+                held += 1
+                for column, value in zip(groups[-1], row, strict=True):
                     column.append(value)
-            if len(out) > 10_000:
-                yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-                out = []
-        out += links(*group, known)
-        yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        yield links(groups)
 
     return K.releasing(run)
 

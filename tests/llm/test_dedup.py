@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -322,3 +323,41 @@ def test_line_dedup_by_grams_links_by_edit_distance_alone(spark):
         pairs.append(2 * k + 1)
     gone = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), grams=True).where("n_removed_lines = 1").collect()}
     assert gone <= set(pairs) and len(gone) >= 0.25 * len(pairs)
+
+
+def test_within_equals_edit_distance_on_long_lines():
+    """Lines of one or many 64 rows, near and far, with common parts moved about, at the border of what is asked for."""
+    rng = random.Random(8)
+    a, b = [], []
+    for size in [1, 3, 63, 64, 65, 127, 128, 129, 300, 511, 512, 513, 640, 900, 1400] * 6:
+        x = "".join(rng.choices("abcdefgh é漢", k=size))
+        y = "".join(rng.choice("ab c") * rng.randint(0, 2) if rng.random() < rng.choice([0.05, 0.15, 0.3]) else c for c in x) or "a"
+        a += [x, x, x]
+        b += [y, x[size // 3 :] + x[: size // 3], "".join(rng.choices("abcdefgh ", k=size))]
+    true = [line_dedup.edit_distance(x, y) for x, y in zip(a, b, strict=True)]
+    for more in (-1, 0, 1, 40):
+        most = np.array([max(0, d + more) for d in true])
+        assert line_dedup.within(a, b, most).tolist() == [d <= k for d, k in zip(true, most.tolist(), strict=True)]
+
+
+def test_groups_are_compared_side_by_side(monkeypatch):
+    """Links span the parts of each group, and the lines of all groups are compared in few calls."""
+    calls, plain = [], line_dedup.similar_pairs
+    monkeypatch.setattr(line_dedup, "similar_pairs", lambda a, b, least: calls.append(len(a)) or plain(a, b, least))
+    rng = random.Random(9)
+    rows, want = [], set()
+    for key in range(60):
+        kinds = ["".join(rng.choices("abcdefghij ", k=60)) for _ in range(4)]
+        lines = [k[:i] + "#" * rng.randint(1, 3) + k[i + 2 :] for k in kinds for i in rng.sample(range(58), 5)]
+        ids = rng.sample(range(key * 100, key * 100 + 100), len(lines))
+        rows += [(key // 3, key, 0, i, line) for i, line in zip(ids, lines, strict=True)]
+        root = groups(len(lines), lambda i, j, lines=lines: line_dedup.similar(lines[i], lines[j], 0.8))
+        want |= {frozenset(ids[i] for i in range(len(ids)) if root[i] == r) for r in set(root)}
+    batches = [pa.record_batch([pa.array(c) for c in zip(*part, strict=True)], ["near", "key", "fp", "id", "line"]) for part in (rows[:500], rows[500:])]
+    links = [(r["a"], r["b"]) for batch in line_dedup._verify_groups(14, 0.8)(iter(batches)) for r in batch.to_pylist()]
+    ids = [r[3] for r in rows]
+    place = {i: k for k, i in enumerate(ids)}
+    near = {(place[a], place[b]) for a, b in links} | {(place[b], place[a]) for a, b in links}
+    root = groups(len(ids), lambda i, j: (i, j) in near)
+    assert {frozenset(ids[i] for i in range(len(ids)) if root[i] == r) for r in set(root)} == want
+    assert len(links) == sum(len(x) - 1 for x in want) and len(calls) <= 20
