@@ -245,7 +245,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, filter_bits: int = 26, l
         filters.append(C.Filter.of(stay, filter_bits))
         shared.drop(stay)
         left = context.broadcast(filters[-1])
-    counts = rows.mapInArrow(_exact(context.broadcast(filters)), "lang string, phrase string, size int, f long")
+    # A task gives each phrase it holds once: few large tasks send fewer rows than many, which would each repeat the same phrases.
+    counts = rows.coalesce(2 * context.defaultParallelism).mapInArrow(_exact(context.broadcast(filters)), "lang string, phrase string, size int, f long")
     counts = counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
     return counts.where((F.col("f") >= least) | (F.col("size") == 0))
 

@@ -256,3 +256,23 @@ def test_pruning_keeps_the_nearest_and_what_it_does_not_shadow():
     x /= np.linalg.norm(x, axis=1)[:, None]
     kept = vector_dedup.pruned(x, x[:1], np.array([[4, 2, 1, 3, -1]], np.int32), 3)[0].tolist()
     assert kept[0] == 1 and 2 not in kept and 3 in kept
+
+
+def test_phrases_are_counted_exactly_in_few_tasks(spark, monkeypatch):
+    """Each task gives all phrases it holds, so their rows must not grow with the number of input partitions."""
+    tasks, plain = spark.sparkContext.accumulator(0), collocations._exact
+
+    def counted(filters):
+        run = plain(filters)
+
+        def out(batches):
+            tasks.add(1)
+            yield from run(batches)
+
+        return out
+
+    monkeypatch.setattr(collocations, "_exact", counted)
+    most = 2 * spark.sparkContext.defaultParallelism
+    docs = [(k, "in the very same place", "en", None, 1) for k in range(8 * most)]
+    got = collocations.frequent_phrases(spark.createDataFrame(docs, DOCS).repartition(4 * most), least=5)
+    assert {r.f for r in got.where("size between 1 and 5").collect()} == {8 * most} and tasks.value <= most
