@@ -46,9 +46,11 @@ SHORT, SHORT_BITS = ((96, 24), (192, 12), (1 << 62, 6)), 52
 SHORT_PRINT = 192
 #: Slots of a task's memory of lines whose keys it has given; a line that it forgets gives its keys again.
 SLOTS = 1 << 18
-#: Entries of the table of symbols of 64 rows of the lines whose distances are taken together.
-BATCH = 1 << 17
+#: Lines whose distances are taken together: how many, and the entries of the table of symbols of 64 rows of them and
+#: of the table of their other lines' symbols. The larger, the less a step costs for each.
+LANES, BATCH, CELLS = 1 << 12, 1 << 19, 1 << 22
 _CHECK = np.uint64(0x5851F42D4C957F2D)
+_SPACED = np.where(K.IS_WORD, K.LOWER, np.uint8(32))
 _FACTORS = np.random.default_rng(64).integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -106,6 +108,9 @@ def _close_words(u: list[str], v: list[str], most: int) -> bool:
     """Whether an alignment of words shows that the edit distance is at most `most`."""
     if len(u) == len(v) and sum([max(len(x), len(y)) for x, y in zip(u, v, strict=True) if x != y]) <= most:
         return True
+    known, other = set(v), set(u)  # an alignment pays at least for the words of one line that the other one lacks
+    if sum([len(x) for x in u if x not in known]) > most or sum([len(x) for x in v if x not in other]) > most:
+        return False
     return _aligned_cost(u, v, most) <= most
 
 
@@ -166,34 +171,106 @@ def _deltas(same: np.ndarray, text: np.ndarray, plus_in: np.ndarray, minus_in: n
     return plus, minus
 
 
+def _least_run(same: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The least distance of 64 symbols to any run of the text, in many tables of _deltas()'s form at once."""
+    size, one, top = text.shape[1], np.uint64(1), np.uint64(63)
+    up, down, score = np.full(size, ~np.uint64(0)), np.zeros(size, np.uint64), np.full(size, 64, np.uint64)
+    least, eq, x, y, d = score.copy(), *(np.empty(size, np.uint64) for _ in range(4))
+    for t in text:
+        same.take(t, out=eq, mode="clip")
+        np.bitwise_or(eq, down, out=y)
+        np.bitwise_and(eq, up, out=x)
+        x += up
+        x ^= up
+        x |= eq
+        np.bitwise_and(up, x, out=d)
+        x |= up
+        np.invert(x, out=x)
+        x |= down
+        np.right_shift(x, top, out=eq)
+        score += eq
+        np.right_shift(d, top, out=eq)
+        score -= eq
+        np.minimum(least, score, out=least)
+        x <<= one
+        np.bitwise_and(x, y, out=down)
+        x |= y
+        np.invert(x, out=x)
+        np.left_shift(d, one, out=up)
+        up |= x
+    return least.astype(np.int64)
+
+
+def _columns(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, symbols: int) -> np.ndarray:
+    """A row for each column of many tables: its symbols' places in _deltas()'s `same`; `symbols` behind a text's end."""
+    row = np.arange(int(size.max()))[:, None]
+    text = codes.take(begin + row, mode="clip")
+    text[row >= size] = symbols
+    text += np.arange(len(begin)) * (symbols + 1)
+    return text
+
+
+def _reach(m: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far columns may lie before and behind their row where `most` edits lead from length m to n: who goes off must come back."""
+    spare = (most - np.abs(n - m)) // 2
+    return spare + np.maximum(m - n, 0), spare + np.maximum(n - m, 0)
+
+
+def _one_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most `most`, bit-parallel over the rows within _reach() of each column (Hyyrö, 2003).
+
+    Bit t stands for row column - ahead + t; rows outside of the text match nothing. Now and then it is looked whether any
+    cell can still lead there.
+    """
+    m, n = len(a), len(b)
+    spare = (most - abs(n - m)) // 2
+    back, ahead = spare + max(m - n, 0), spare + max(n - m, 0)
+    top, full = back + ahead, (1 << back + ahead + 1) - 1
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") << ahead for c in set(a) & set(b)}
+    slant = np.abs(np.arange(top + 1) - ahead - (m - n))  # of a cell, as many edits lie ahead at least
+    up, down, last = full ^ (1 << ahead) - 1, 0, back
+    look = step = max(128, n // 16)
+    for j, c in enumerate(b):
+        x = at.get(c, 0) >> j & full
+        d = (((x & up) + up) ^ up) & full | x | down
+        plus, minus = down | full ^ (d | up), d & up
+        last += 1 - (d >> top)
+        d >>= 1
+        up, down = minus | full ^ (d | plus), d & plus
+        if j == look:
+            look += step
+            rise, fall = (np.unpackbits(np.frombuffer(z.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little")[:top].astype(np.int64) for z in (up, down))
+            cells = np.append(0, np.cumsum(rise - fall))
+            if (last - cells[-1] + cells + slant).min() > most:
+                return False
+    behind = (1 << top) - (1 << m - n + ahead)
+    return last - (up & behind).bit_count() + (down & behind).bit_count() <= most
+
+
 def _far_apart(codes: np.ndarray, begin: np.ndarray, m: np.ndarray, n: np.ndarray, most: np.ndarray, symbols: int) -> np.ndarray:
     """Of some pairs of _band_within()'s form, whose distance is over `most`, that it is.
 
-    Each 64 symbols of a line stand, in the other one, at most `most` from their own place, or the distance is larger
+    Each 64 symbols of a line stand, in the other one, within _reach() of their own place, or the distance is larger
     anyway; the least distances of every second 64 to any run there add up to no more than the whole distance.
     """
+    back, ahead = _reach(m, n, most)
     width, total = symbols + 1, np.zeros(len(m), np.int64)
     parts = (m // 64 + 1) // 2
     pair, place = np.repeat(np.arange(len(m)), parts), K.positions(parts)[1] * 128
-    lo = np.maximum(place - most[pair], 0)
-    w = np.minimum(place + 64 + most[pair], n[pair]) - lo
+    lo = np.maximum(place - back[pair], 0)
+    w = np.minimum(place + 64 + ahead[pair], n[pair]) - lo
     order = np.argsort(w, kind="stable")
     while len(order):
-        now = order[: min(1024, max(1, BATCH // width))]
-        now = now[: max(1, int(np.count_nonzero(w[now] * np.arange(1, len(now) + 1) <= 16 * BATCH)))]
+        now = order[: min(LANES, max(1, BATCH // width))]
+        now = now[: max(1, int(np.count_nonzero(w[now] * np.arange(1, len(now) + 1) <= CELLS)))]
         order = order[len(now) :]
         lane, of = np.arange(len(now)), pair[now]
         row = np.tile(np.arange(64), len(now))
         same = np.zeros(len(now) * width, np.uint64)
         np.add.at(same, np.repeat(lane * width, 64) + codes[np.repeat(begin[0, of] + place[now], 64) + row], np.uint64(1) << row.astype(np.uint64))
-        text = np.full((int(w[now].max()), len(now)), symbols, np.int64)
-        at = K.positions(w[now])[1]
-        text[at, np.repeat(lane, w[now])] = codes[np.repeat(begin[1, of] + lo[now], w[now]) + at]
-        text += lane * width
-        none = np.broadcast_to(np.uint64(0), text.shape)
-        step, fall = (np.right_shift(bits, np.uint64(63), out=bits).astype(np.int8) for bits in _deltas(same, text, none, none))
-        step -= fall
-        np.add.at(total, of, 64 + np.minimum(np.cumsum(step, axis=0, dtype=np.int8).min(0), 0))
+        text = _columns(codes, begin[1, of] + lo[now], w[now], symbols)
+        np.add.at(total, of, _least_run(same, text))
     return total > most
 
 
@@ -201,18 +278,17 @@ def _band_within(codes: np.ndarray, begin: np.ndarray, m: np.ndarray, n: np.ndar
     """Whether the edit distances of pairs are at most `most`, bit-parallel over all pairs and 64 rows at once (Hyyrö, 2003).
 
     codes holds all lines' symbols (under `symbols`), those of the two of a pair from begin[0] and begin[1]; their lengths
-    m and n, 1 at least, differ by at most `most`. Only cells up to the largest `most` from the diagonal are visited, 64
+    m and n, 1 at least, differ by at most `most`. Only cells within the largest _reach() of the diagonal are visited, 64
     rows after 64 rows; cells at the border are taken for at least what they are. A pair is left when all cells of its last
     row are over its `most`. Behind the end of a text stands a symbol that no line has, from which no cell gets less.
     """
-    width, reach, one, done = symbols + 1, int(most.max()), np.uint64(1), 0
+    width, one, done = symbols + 1, np.uint64(1), 0
+    back, ahead = (int(x.max()) for x in _reach(m, n, most))
     out, live, lane = np.zeros(len(m), bool), np.arange(len(m)), np.arange(len(m))
-    text = np.full((int(n.max()), len(m)), symbols, np.int64)
-    text[K.positions(n)[1], np.repeat(lane, n)] = codes[np.repeat(begin[1], n) + K.positions(n)[1]]
-    text += lane * width
+    text = _columns(codes, begin[1], n, symbols)
     corner, before, plus, minus = np.zeros(len(m), np.int64), 0, None, None
     while len(live):
-        lo, hi = max(0, done - reach), min(len(text), done + 64 + reach)
+        lo, hi = max(0, done - back), min(len(text), done + 64 + ahead)
         rows = np.clip(m[live] - done, 1, 64)
         row = K.positions(rows)[1]
         same = np.zeros(len(live) * width, np.uint64)
@@ -234,7 +310,7 @@ def _band_within(codes: np.ndarray, begin: np.ndarray, m: np.ndarray, n: np.ndar
         out[live[ends]] = first[ends] + cells[n[live[ends]] - 1 - lo, ends] <= most[live[ends]]
         least = first + np.minimum(cells.min(0), 0)
         done, before = done + 64, lo
-        shift = min(max(0, done - reach) - lo, len(cells))  # less only when no pair is left
+        shift = min(max(0, done - back) - lo, len(cells))  # less only when no pair is left
         corner = first + (cells[shift - 1] if shift else 0)
         stay = (m[live] > done) & (least <= most[live])
         if not stay.all():
@@ -261,14 +337,15 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
         order = np.setdiff1d(order, long[_far_apart(codes, begin[:, long], size[0, long], size[1, long], most[long], len(symbols))])
     order = order[np.argsort(longest[order], kind="stable")]
     while len(order):  # lines of about one length, as many as fit
-        now = order[: max(1, min(1024, BATCH // len(symbols)))]
-        now = now[: int(np.searchsorted(longest[now], max(64, longest[now[0]] * 5 // 4), "right"))]
-        now = now[: max(1, 32 * BATCH // int(longest[now[-1]]))]
+        now = order[: max(1, min(LANES, BATCH // len(symbols)))]
+        alike, rather = np.searchsorted(longest[now], [max(64, longest[now[0]] * 5 // 4), longest[now[0]] * 2], "right").tolist()
+        now = now[: max(alike, min(rather, 192))]  # a few more lines cost nothing
+        now = now[: max(1, CELLS // int(longest[now[-1]]))]
         order = order[len(now) :]
-        n, band = int(longest[now[-1]]), 64 + 2 * int(most[now].max())
+        n, band = int(longest[now[-1]]), 64 + int(most[now].max())
         # Microseconds that both ways take; few or very long lines are compared one by one.
-        if len(now) * n * (1.5 + n / 5000) < (n // 64 + 1) * min(n, band) * (9 + len(now) / 64):
-            out[now] = [edit_distance(a[i], b[i]) <= most[i] for i in now.tolist()]
+        if len(now) * n * (1.2 + band / 5000) < (n // 64 + 1) * min(n, band) * (16 + len(now) / 64):
+            out[now] = [_one_within(a[i], b[i], k) for i, k in zip(now.tolist(), most[now].tolist(), strict=True)]
         else:
             out[now] = _band_within(codes, begin[:, now], size[0, now], size[1, now], most[now], len(symbols))
     return out
@@ -289,16 +366,40 @@ def similar_pairs(a: list[str], b: list[str], least: float) -> list[bool]:
     return out
 
 
-def line_hashes(data: np.ndarray, offsets: np.ndarray, least_words: int):
-    """Of each row the hashes of its normalised lines (0: too short), second hashes, words' hashes and places, and lines' starts and ends."""
-    starts, ends, first = K.words(data, offsets)
-    line_start, line_end, first_line = K.lines(data, offsets)
+def normal_lines(data: np.ndarray, offsets: np.ndarray):
+    """All lines of all rows: the normalised text, where each line begins and ends in it, and its words; the words' places; and each row's first line."""
+    starts, ends, _ = K.words(data, offsets)
+    line_start, _, first_line = K.lines(data, offsets)
     word = np.searchsorted(starts, np.append(line_start, len(data)))
-    hashes = K.hash_spans(data, starts, ends, K.BYTE_MIX_LOWER)
-    whole = K.hash_between(K.rolling(hashes), word[:-1], word[1:])
-    second = K.hash_between(K.rolling(K.mix(hashes ^ _CHECK)), word[:-1], word[1:])
-    whole[np.diff(word) < least_words] = 0
-    return whole.view(np.int64), second.view(np.int64), hashes, word, starts, ends, first_line, line_start, line_end
+    text, before = _SPACED[data], np.append(0, ends)
+    gap = np.maximum(np.append(starts, len(data)) - before - 1, 0)  # one byte between words stays
+    out = np.repeat(before + 1, gap) + K.positions(gap)[1]
+    has = np.flatnonzero(np.diff(word))
+    lo, hi = np.zeros((2, len(word) - 1), np.int64)
+    lo[has], hi[has] = starts[word[has]], ends[word[has + 1] - 1]
+    if len(out):
+        text = np.delete(text, out)
+        lo, hi = lo - np.searchsorted(out, lo), hi - np.searchsorted(out, hi)
+    return text, lo, hi, word, starts, ends, first_line
+
+
+def line_hashes(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each line, over eight bytes at a time and the length; 0 where `wanted` is false."""
+    out, of = np.zeros((2, len(lo)), np.uint64), np.flatnonzero(wanted)
+    n = (hi - lo)[of]
+    size = (n + 7) // 8
+    begin, place = K.positions(size)
+    chunk = _eights(text)[np.repeat(lo[of], size) + 8 * place]
+    rest = (8 * size - n).astype(np.uint64) * np.uint64(8)
+    chunk[begin + size - 1] <<= rest  # without what comes behind the line
+    for k, factor in enumerate((K.MULTIPLIER, _CHECK)):
+        out[k, of] = K.mix(K.hash_between(K.rolling(K.mix(chunk ^ factor)), begin, begin + size) ^ n.astype(np.uint64) * factor)
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of the text on, zeros behind its end."""
+    return np.ndarray((len(text),), "<u8", np.append(text, np.zeros(8, np.uint8)), strides=(1,))
 
 
 def fingerprints(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -311,47 +412,72 @@ def fingerprints(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
     return K.majority_bits(hashes[new], np.searchsorted(line[new], np.arange(len(word))))
 
 
-def gram_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_keys(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each wanted line that is long enough: its place, a fingerprint of its grams, and its bands' keys (0: no band)."""
-    inside = K.IS_WORD[data]
-    kept = inside.copy()
-    kept[1:] |= inside[:-1]  # one byte between words
-    at = np.cumsum(kept) - kept
-    text = np.where(inside, K.LOWER[data], np.uint8(32))[kept]
-    lo, hi = at[starts[word[wanted]]], at[ends[word[wanted + 1] - 1] - 1] + 1
-    chars = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
-    long_enough = chars[hi] - chars[lo] >= LEAST_CHARS
+    lo, hi = lo[wanted], hi[wanted]
+    long_enough = hi - lo >= LEAST_CHARS
+    doubt = np.flatnonzero(long_enough & (hi - lo < 4 * LEAST_CHARS))  # a character has one to four bytes
+    if len(doubt):
+        n = (hi - lo)[doubt]
+        begin, place = K.positions(n)
+        long_enough[doubt] = np.add.reduceat((text[np.repeat(lo[doubt], n) + place] & 0xC0) != 0x80, begin, dtype=np.int64) >= LEAST_CHARS
     wanted, lo, hi = wanted[long_enough], lo[long_enough], hi[long_enough]
     if not len(wanted):
         return wanted, np.empty(0, np.uint64), np.empty((0, len(BANDS)), np.uint64)
-    n = np.maximum(hi - lo - GRAM + 1, 1)
-    begin, place = K.positions(n)
-    first = np.repeat(lo, n) + place
-    h = (K.hash_between(K.rolling(K.BYTE_MIX[text]), first, np.minimum(first + GRAM, np.repeat(hi, n))) >> np.uint64(32)).astype(np.uint32)
-    use = h <= np.repeat(np.minimum(SAMPLE / n, 1.0) * (2**32 - 1), n)
-    use[begin] |= np.add.reduceat(use, begin, dtype=np.int64) == 0
-    h, begin = h[use], np.concatenate([[0], np.cumsum(use)])[begin]
-    low = np.empty((MINIMA, len(wanted)), np.uint32)
+    n = hi - lo - GRAM + 1
+    edges = np.stack([lo, lo + n], axis=1).ravel()
+    spread = np.diff(edges, prepend=0)
+    most = np.zeros(len(edges), np.uint32)
+    most[1::2] = np.minimum(SAMPLE / n, 1.0) * 2**31
+    h = gram_hashes(text)[: edges[-1]]
+    use = h < np.repeat(most, spread)
+    begin = np.add.reduceat(use, edges[:-1], dtype=np.int32)[::2]
+    if not begin.all():
+        most[1::2][begin == 0] = 2**31
+        use = h < np.repeat(most, spread)
+    use = np.flatnonzero(use)
+    h, begin = h[use], np.searchsorted(use, lo)
+    low, x, y = np.empty((MINIMA, len(wanted)), np.uint32), np.empty_like(h), np.empty_like(h)
     for k, factor in enumerate(_FACTORS):
-        x = h * factor
-        x ^= x >> np.uint32(15)
+        np.multiply(h, factor, out=x)
+        np.right_shift(x, np.uint32(15), out=y)
+        x ^= y
         x *= np.uint32(0x846CA68B)
-        low[k] = np.minimum.reduceat(x, begin)
+        np.minimum.reduceat(x, begin, out=low[k])
     mixed = (low ^ low >> np.uint32(16)) * np.uint32(0x7FEB352D)
     bits = np.concatenate([mixed >> np.uint32(k) & np.uint32(1) for k in (31, 30, 29)])[:64]
     size = hi - lo
     bits[SHORT_BITS:, size <= SHORT_PRINT] = 0
     prints = np.packbits(np.ascontiguousarray(bits.T.astype(np.uint8)), axis=1, bitorder="little").view(np.uint64).ravel()
     bands = np.zeros((len(wanted), len(BANDS)), np.uint64)
-    for k, members in enumerate(BANDS):
-        bands[:, k] = k + 1
-        for m in members:
-            bands[:, k] = K.mix(bands[:, k] ^ low[m].astype(np.uint64)) * K.MULTIPLIER
     n_bands = np.array([n for _, n in SHORT])[np.searchsorted([most for most, _ in SHORT], size)]
-    bands[np.arange(len(BANDS)) >= n_bands[:, None]] = 0
+    for first, last in ((0, 6), (6, 12), (12, 24)):
+        of = np.flatnonzero(n_bands > first)
+        wide = low[:, of].astype(np.uint64)
+        for k in range(first, last):
+            band = np.full(len(of), k + 1, np.uint64)
+            for m in BANDS[k]:
+                band ^= wide[m]
+                band *= K.MULTIPLIER
+                band ^= band >> np.uint64(29)
+            bands[of, k] = K.mix(band)
     return wanted, prints, bands
 
 
+def gram_hashes(text: np.ndarray) -> np.ndarray:
+    """A 31-bit hash of the GRAM (up to 8) bytes from each place of the text on."""
+    out = np.empty(len(text), np.uint32)
+    grams = _eights(text)
+    for at in range(0, len(text), 1 << 15):  # what fits in a core's cache
+        h = grams[at : at + (1 << 15)] << np.uint64(64 - 8 * GRAM)
+        h *= K.MULTIPLIER
+        h ^= h >> np.uint64(32)
+        h *= K.MULTIPLIER
+        h >>= np.uint64(33)
+        out[at : at + (1 << 15)] = h
+    return out
+
+
 def block_keys(prints: np.ndarray) -> np.ndarray:
     """The keys of all pairs of pigeonhole blocks of each fingerprint."""
     block = [prints >> np.uint64(at) & np.uint64((1 << n) - 1) for at, n in BLOCKS]
@@ -374,15 +500,16 @@ def line_batches(least_words: int, grams: bool):
         met = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for lo, hi, data, offsets in K.text_slices(batch.column(3), 1 << 19):
-                ids, checks, hashes, word, starts, ends, first, _, _ = line_hashes(data, offsets, least_words)
+                text, begin, end, word, starts, ends, first = normal_lines(data, offsets)
+                ids, checks = line_hashes(text, begin, end, np.diff(word) >= max(least_words, 1))
                 new = np.flatnonzero(ids != 0)
                 new = new[np.sort(np.unique(ids[new], return_index=True)[1])]
                 new = new[met[ids[new] & (SLOTS - 1)] != ids[new]]
                 met[ids[new] & (SLOTS - 1)] = ids[new]
                 if grams:
-                    new, prints, keys = gram_keys(data, starts, ends, word, new)
+                    new, prints, keys = gram_keys(text, begin, end, new)
                 else:
-                    prints = fingerprints(hashes, word)[new]
+                    prints = fingerprints(K.hash_spans(data, starts, ends, K.BYTE_MIX_LOWER), word)[new]
                     keys = block_keys(prints)
                 at = np.searchsorted(new, first).astype(np.int32)
                 of = np.searchsorted(first, new, "right") - 1
@@ -395,10 +522,6 @@ def line_batches(least_words: int, grams: bool):
     return K.releasing(run)
 
 
-def _normal(data: np.ndarray, a: int, b: int) -> str:
-    return b" ".join(K.LOWER[data[a:b]].tobytes().split()).decode(errors="replace")
-
-
 def wanted_batches(bitmap, least_words: int):
     """mapInArrow function from (text) to (id, check, line): normalised lines whose hash is in the bitmap, mostly once a task."""
 
@@ -406,12 +529,13 @@ def wanted_batches(bitmap, least_words: int):
         bits, met = bitmap.value, np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, data, offsets in K.text_slices(batch.column(0)):
-                ids, checks, *_, lo, hi = line_hashes(data, offsets, least_words)
+                text, lo, hi, word, *_ = normal_lines(data, offsets)
+                ids, checks = line_hashes(text, lo, hi, np.diff(word) >= max(least_words, 1))
                 at = np.flatnonzero((ids != 0) & bits[ids & (FILTER_BITS - 1)])
                 at = at[np.unique(ids[at], return_index=True)[1]]
                 at = at[met[ids[at] & (SLOTS - 1)] != ids[at]]
                 met[ids[at] & (SLOTS - 1)] = ids[at]
-                lines = pa.array([_normal(data, a, b) for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)], pa.string())
+                lines = pa.array([text[a:b].tobytes().decode(errors="replace") for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)], pa.string())
                 yield pa.record_batch([pa.array(ids[at]), pa.array(checks[at]), lines], ["id", "check", "line"])
 
     return K.releasing(run)

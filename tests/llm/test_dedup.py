@@ -361,3 +361,39 @@ def test_groups_are_compared_side_by_side(monkeypatch):
     root = groups(len(ids), lambda i, j: (i, j) in near)
     assert {frozenset(ids[i] for i in range(len(ids)) if root[i] == r) for r in set(root)} == want
     assert len(links) == sum(len(x) - 1 for x in want) and len(calls) <= 20
+
+
+def test_edit_check_visits_only_cells_from_which_the_end_is_near(monkeypatch):
+    """Who leaves the diagonal must come back within the same edits, so a block of 64 rows needs 64 + most columns, not 64 + 2 * most."""
+    seen, plain = [], line_dedup._deltas
+    monkeypatch.setattr(line_dedup, "_deltas", lambda same, text, *borders: seen.append(text.size) or plain(same, text, *borders))
+    rng = random.Random(12)
+    a = ["".join(rng.choices("abcdefgh ", k=480)) for _ in range(300)]
+    b = ["".join(rng.choice("xy") if rng.random() < 0.18 else c for c in x) for x in a]
+    most = [96 if k % 2 else line_dedup.edit_distance(x, y) - 1 for k, (x, y) in enumerate(zip(a, b, strict=True))]
+    assert line_dedup.within(a, b, np.array(most)).tolist() == [line_dedup.edit_distance(x, y) <= k for x, y, k in zip(a, b, most, strict=True)]
+    assert seen and sum(seen) <= 300 * 8 * (64 + 2 + max(most))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab dé漢", min_size=1, max_size=300), st.text("ab dé漢", min_size=1, max_size=300), st.integers(-3, 3), st.booleans())
+def test_one_pair_within_equals_edit_distance(a, b, more, near):
+    b = a[: len(a) // 3] + b[:20] + a[len(a) // 2 :] if near else b
+    true = line_dedup.edit_distance(a, b)
+    most = max(true + more, abs(len(a) - len(b)))
+    assert line_dedup._one_within(a, b, most) == (true <= most)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("aB \t\n\x0b\x00é漢", max_size=30), min_size=1, max_size=8))
+def test_normalised_lines_and_their_hashes(texts):
+    """Lines of all rows as split() gives them; equal hashes for equal ones alone, whatever stands around them."""
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    text, lo, hi, word, _, _, first = line_dedup.normal_lines(data, offsets)
+    lines = [" ".join(x.translate({b: b + 32 for b in range(65, 91)}).split()) for t in texts for x in t.replace("\x0b", " ").split("\n")]
+    assert first.tolist() == np.cumsum([0, *[t.count("\n") + 1 for t in texts]]).tolist()
+    assert [text[a:b].tobytes().decode() for a, b in zip(lo, hi, strict=True)] == lines
+    both = list(zip(*(x.tolist() for x in line_dedup.line_hashes(text, lo, hi, np.diff(word) > 0)), strict=True))
+    assert all((h == (0, 0)) == (x == "") for h, x in zip(both, lines, strict=True))
+    assert len(set(both)) == len(set(lines)) == len({h for h, _ in both}) == len({h for _, h in both})
