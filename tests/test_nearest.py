@@ -46,6 +46,50 @@ def test_nearest_against_all_pairs(spark, bytes_, rows):
     assert neighbors.nearest(points.where("cell < 0"), k=3, **options).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["plain", "far away", "few digits", "copies", "tiny", "odd"])
+def test_closest_over_many_columns_against_all(kind):
+    """Rough distances in short floats must not lose a neighbour, wherever the points lie, nor without a bound nor with one."""
+    rng = np.random.default_rng(7)
+    y = rng.normal(size=(9000, 5))
+    ids = rng.permutation(9000) * 3
+    if kind == "far away":
+        y = y * 1e-3 + 1e6
+    elif kind == "few digits":
+        y = np.round(y, 1)
+    elif kind == "copies":
+        y[rng.permutation(9000)[:5000]] = y[0]
+    elif kind == "tiny":
+        y = y * 1e-40
+    elif kind == "odd":
+        y[5], y[6, 2], y[7, 0] = np.nan, np.inf, 1e300
+    asked = np.concatenate([rng.permutation(9000)[:150], [0, 5, 6]])
+    with np.errstate(all="ignore"):
+        want = {}
+        for q in asked.tolist():
+            d = np.sqrt(((y - y[q]) ** 2).sum(1))
+            ok = np.flatnonzero(np.isfinite(d) & (ids != ids[q]))
+            want[q] = ok[np.lexsort((ids[ok], d[ok]))[:12]].tolist()
+    for bound in (None, np.array([np.sqrt(((y[want[q][-1]] - y[q]) ** 2).sum()) if want[q] else np.inf for q in asked.tolist()])):
+        i, j, _ = neighbors._closest(y[asked], ids[asked], y, ids, 12, True, bound)
+        assert {q: j[i == row].tolist() for row, q in enumerate(asked.tolist())} == want
+
+
+def test_vectors_are_not_written_for_each_block(spark, monkeypatch):
+    """Points without clusters leave nearly all blocks open; their vectors are not copied for each of them."""
+    x = np.random.default_rng(8).normal(size=(1200, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell long, v array<double>")
+    written, real = [], neighbors.materialised
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count() if "v" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(neighbors, "materialised", counted)
+    got = told(neighbors.nearest(rows, k=5, block_rows=40, broadcast_bytes=0).collect())
+    assert got == plain(x, list(range(1200)), range(1200), 5, True)
+    assert sum(written) <= 2 * 1200
+
 
 def test_balanced_neighbours_against_plain_proposals(spark):
     rng = np.random.default_rng(11)
