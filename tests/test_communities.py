@@ -190,3 +190,30 @@ def test_one_round_of_harmony_against_dense_numpy(spark):
     after = np.array([r.v for r in sorted(out.collect(), key=lambda r: r.cell)])
     assert mixed(after) < mixed(x) - 0.1
     assert harmony.corrected(points.where("cell < 0")).count() == 0
+
+
+def test_small_communities_share_tasks(spark, monkeypatch, tmp_path):
+    """Hundreds of small communities and groups are parted as by themselves, but not in hundreds of tasks."""
+    real = modularity._refine_block
+
+    def counted(m2):
+        run = real(m2)
+
+        def told(rows):
+            import uuid
+
+            (tmp_path / uuid.uuid4().hex).touch()
+            return run(rows)
+
+        return told
+
+    monkeypatch.setattr(modularity, "_refine_block", counted)
+    chains = [(3 * g + i, 3 * g + i + 1) for g in range(250) for i in (0, 1)]
+    edges = spark.createDataFrame([(s, d, 1.0) for a, b in chains for s, d in ((a, b), (b, a))], "src long, dst long, weight double")
+    found = {r.cell: r.community for r in modularity.leiden(edges).collect()}
+    assert found == {c: c // 3 * 3 for c in range(750)}
+    assert 0 < len(list(tmp_path.iterdir())) <= 10
+    cells = spark.createDataFrame([(c, c // 3) for c in range(760)], "cell long, grp long")
+    got = metacells.metacells(edges, cells, 3.0, most=100)
+    assert {r.cell: (r.grp, r.metacell, r.size) for r in got.collect() if r.cell < 750} == {c: (c // 3, c // 3 * 3, 3) for c in range(750)}
+    assert got.count() == 760
